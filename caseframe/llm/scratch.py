@@ -1,0 +1,50 @@
+"""Intermediate tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+A table is written as Parquet, so lineage is cut by files that every executor
+can read, and later plans get real sizes and column pruning.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared scratch folder; an own one only where the setting is absent, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="caseframe-"))
+    return _own[0]
+
+
+def keep(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/caseframe/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete every scratch table; call it when no frame that reads one is needed any more."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; the folder belongs to the cluster
+            continue
+
+
+atexit.register(release)
