@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseframe.llm import mixing, packing, sharding, urls
+from caseframe.llm import mixing, neardup, packing, sharding, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: The rules of query op4: verdict, host, path.
@@ -58,12 +58,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
         "op4_urls": op4_urls,
         "op7_packing": op7_packing,
+        "op9_neardup": op9_neardup,
     }
 
 
@@ -129,9 +134,25 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+rows AS (SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS h FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM rows a JOIN rows b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM shingled JOIN lowest ON a = doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": OP1_SQL,
         "op4_urls": OP4_SQL,
+        "op9_neardup": OP9_SQL,
     }
