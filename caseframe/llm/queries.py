@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseframe.llm import mixing, neardup, packing, sharding, urls
+from caseframe.llm import mixing, neardup, packing, quality, sharding, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: The rules of query op4: verdict, host, path.
@@ -43,6 +43,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=("doc_id",))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def listed_urls(spark: SparkSession) -> DataFrame:
     literals = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
     rows = spark.range(LISTED_PAGES).withColumn("host", literals(LISTED_HOSTS)).withColumn("end", literals(LISTED_ENDS)).withColumn("lang", literals(LISTED_LANGUAGES))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_sharding": op2_sharding,
+        "op3_quality": op3_quality,
         "op4_urls": op4_urls,
         "op7_packing": op7_packing,
         "op9_neardup": op9_neardup,
