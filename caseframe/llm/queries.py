@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseframe.llm import mixing, neardup, packing, quality, sharding, urls
+from caseframe.llm import chat, html, mixing, neardup, packing, quality, sharding, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: The rules of query op4: verdict, host, path.
@@ -63,6 +63,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(rows.unionByName(more)))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -74,7 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_urls": op4_urls,
         "op7_packing": op7_packing,
+        "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
+        "op10_html": op10_html,
     }
 
 
