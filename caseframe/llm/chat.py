@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = {"user": "<s>[INST] ", "assistant": "<s>[/INST] ", "system": "<s><<SYS>> "}, " </s>"
 OTHER = "<s>[ROLE {}] "
 #: Control strings, with any number of escapes after the first character.
-CONTROL = re.compile(r"([<\[])(\\*)(?=/?(?:s>|INST\]|ROLE |<?/?SYS>>|/SYS>>))")
-ESCAPED = re.compile(r"([<\[])\\(\\*)(?=/?(?:s>|INST\]|ROLE |<?/?SYS>>|/SYS>>))")
+CONTROL = re.compile(r"([<\[])(\\*)(?=/?(?:s>|INST\]|ROLE |SYS>>))")
+ESCAPED = re.compile(r"([<\[])\\(\\*)(?=/?(?:s>|INST\]|ROLE |SYS>>))")
 #: Tokens of a window, and tokens of history that a window may repeat.
 BUDGET, HISTORY = 1024, 256
 
