@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caseframe.llm import chat, html, mixing, neardup, packing, quality, sharding, urls
+from caseframe.llm import chat, fingerprints, html, mixing, neardup, packing, quality, secrets, sharding, urls
 
 WORD_BPE = "word_bpe_49k.json"
 #: The rules of query op4: verdict, host, path.
@@ -59,6 +59,14 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, listed_urls(spark), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(_read(spark, sf_dir, "documents"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -84,6 +92,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": op2_sharding,
         "op3_quality": op3_quality,
         "op4_urls": op4_urls,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_secrets": op6_secrets,
         "op7_packing": op7_packing,
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
