@@ -104,5 +104,6 @@ def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     parts = F.when(F.col("taken") > 0, F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
     rows = mixed.withColumn("_part", F.explode(parts))
-    cut = F.expr(f"regexp_extract({words_column}, concat('^(?s)(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){{', _part, '}}'), 0)")
+    pieces = F.expr(rf"regexp_extract_all({words_column}, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
+    cut = F.array_join(F.slice(pieces, 1, F.col("_part")), "")
     return rows.withColumn(words_column, F.when(F.col("_part") < F.col("size"), cut).otherwise(F.col(words_column))).drop("_part", "size", "source_size", "target", "taken")

@@ -98,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_neardup": op9_neardup,
         "op10_html": op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
+_lasting: list[str] = []
 _own: list[str] = []
 
 
@@ -26,25 +27,39 @@ def folder(spark: SparkSession) -> str:
     return _own[0]
 
 
-def keep(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back."""
+def keep(df: DataFrame, name: str = "part", register: bool = True) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back. Without ``register`` it stays until the session ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/caseframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    (_written if register else _lasting).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every scratch table; call it when no frame that reads one is needed any more."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended; the folder belongs to the cluster
-            continue
+def mark() -> int:
+    """A point in time, for ``since``."""
+    return len(_written)
 
 
-atexit.register(release)
+def since(point: int) -> list[str]:
+    """The tables written since then."""
+    return _written[point:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that no frame needs any more."""
+    context = spark.sparkContext
+    for path in paths:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop(spark, [*_written, *_lasting])
+
+
+atexit.register(_clear)

@@ -1,4 +1,83 @@
-"""The corpus pipeline (placeholder until its stages exist)."""
+"""The corpus pipeline: quality rules, near-dedup, secret scans, mixing, packing.
 
-STAGES: list = []
+Each stage works on what the one before it kept, and its decisions take effect.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseframe.llm import mixing, neardup, packing, quality, scratch, secrets
+
+_scratch: list[str] = []
+
+
+def _stage(function: Callable, first: bool = False) -> Callable:
+    """A later stage reads what the one before it returned as a table, so that one's scratch tables can go."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            scratch.drop(spark, _scratch)
+        _scratch.clear()
+        mark = scratch.mark()
+        out = function(spark, docs, sf_dir)
+        _scratch.extend(scratch.since(mark))
+        return out
+
+    return run_stage
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and are no outliers of their language and source."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without its secrets."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents: repeated by epoch, the last one of a source cut at its budget."""
+    out = mixing.repeated(mixing.mix(docs))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mix's documents with their places in the sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", _stage(keep_quality, first=True)),
+    ("near_dedup", _stage(keep_one_of_each)),
+    ("secrets", _stage(redact_secrets)),
+    ("mixing", _stage(mix_sources)),
+    ("packing", _stage(pack_sequences)),
+]
+
+#: Robust estimates, the similarity join and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{name}", register=False)
+    return STAGES[-1][1](spark, docs, sf_dir)
