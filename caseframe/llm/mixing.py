@@ -79,6 +79,7 @@ def mix(
         F.col("source").isNotNull().alias("_known"),
         F.coalesce("source", F.lit("")).alias("_source"),
         key.alias("_key"),
+        F.xxhash64("text").alias("_tie"),
     )
     rows = rows.withColumn("_bucket", bucket_of(F.col("_key"), bits))
     by = ["_known", "_source"]
@@ -86,12 +87,12 @@ def mix(
     sizes = stats.groupBy(*by).agg(F.sum("_size").alias("source_size"))
     goals = targets(sizes, weights, share, cap)
     starts = offsets(stats, by, "_bucket", "_size", "_start").drop("_size").join(goals, by)
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_key", "doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_key", "doc_id", "_tie")
     rows = rows.join(starts, [*by, "_bucket"]).withColumn("_end", F.col("_start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     budget = F.round("target").cast("long")
     rest = budget % F.greatest("source_size", F.lit(1))
     taken = F.col("size") * F.floor(budget / F.greatest("source_size", F.lit(1))) + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).drop(*by, "_key", "_bucket", "_start", "_end")
+    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).drop(*by, "_key", "_tie", "_bucket", "_start", "_end")
 
 
 def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
