@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = counted.where(F.col("n") > GROUP).select(F.col("node").alias("rep"))
     if not large.isEmpty():
         small = small.unionByName(_parts(classes.join(large, "rep", "left_semi")))
-    wanted = texts.join(small.select(F.col("rep").alias("doc_id"), "component"), "doc_id")
+    # A merge join at every size: the groups grow with the input, so they are never broadcast.
+    wanted = texts.join(small.select(F.col("rep").alias("doc_id"), "component").hint("merge"), "doc_id")
     met = wanted.repartition("component").sortWithinPartitions("component", "doc_id").select("component", "doc_id", "text")
     links = scratch.keep(met.mapInArrow(_confirm, "a long, b long"), "confirmed")
     found = components(links)
