@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseframe.functions.arrays import let
 from caseframe.functions.text import normalize_string, strip
 
 FENCE = "```"
@@ -33,34 +34,37 @@ def is_string(v: Column) -> Column:
 
 def is_none(v: Column) -> Column:
     """Missing or JSON null."""
-    return v.isNull() | F.coalesce(kind(v) == "VOID", F.lit(False))
+    return F.coalesce(kind(v), F.lit("VOID")) == "VOID"
+
+
+def _number_type(v: Column, k: Column) -> Column:
+    large = k.rlike(r"^DECIMAL\((19|[23]\d),0\)$") & ~F.to_json(v).rlike("[.eE]")
+    return F.when(k == "BIGINT", F.lit("int")).when(k == "BOOLEAN", F.lit("bool")).when(k.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when(large, F.lit("int")).otherwise(F.lit("float")))
 
 
 def number_type(v: Column) -> Column:
     """``int``, ``float`` or ``bool`` of a JSON number or truth value, else null. A number with a point or exponent is a float."""
-    k = kind(v)
-    whole = (k == "BIGINT") | (k.rlike(r"^DECIMAL\(\d+,0\)$") & ~F.to_json(v).rlike("[.eE]") & (F.regexp_extract(k, r"\((\d+),", 1).cast("int") > 18))
-    return F.when(whole, F.lit("int")).when(k == "BOOLEAN", F.lit("bool")).when(k.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit("float"))
+    return let(v, lambda x: let(kind(x), lambda k: _number_type(x, k)))
 
 
 def get(v: Column, key: str) -> Column:
     """The member ``key``; null where it is missing or ``v`` is no object."""
-    return F.when(is_object(v), F.try_variant_get(v, f"$.{key}", "variant"))
+    return F.try_variant_get(v, f"$.{key}", "variant")
 
 
 def items(v: Column) -> Column:
     """The elements of an array; null for anything else."""
-    return F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def string(v: Column) -> Column:
     """The text of a JSON string; null for anything else."""
-    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def keys(v: Column) -> Column:
-    """Sorted distinct keys of an object."""
-    return F.when(is_object(v), F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))))
+    """Sorted distinct keys of an object; null for anything else."""
+    return F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def canonical(v: Column, lower: bool = False) -> Column:
@@ -68,13 +72,17 @@ def canonical(v: Column, lower: bool = False) -> Column:
 
     With ``lower``, strings are compared stripped and in lower case.
     """
-    text = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(is_none(v), F.lit("n"))
-        .when(is_string(v), F.concat(F.lit("s"), normalize_string(text) if lower else text))
-        .when(number_type(v).isNotNull(), F.concat(F.lit("d"), F.try_variant_get(v, "$", "double").cast("string")))
-        .otherwise(F.concat(F.lit("j"), F.to_json(v)))
-    )
+
+    def form(x: Column, k: Column) -> Column:
+        text = F.try_variant_get(x, "$", "string")
+        return (
+            F.when(k.isNull() | (k == "VOID"), F.lit("n"))
+            .when(k == "STRING", F.concat(F.lit("s"), normalize_string(text) if lower else text))
+            .when(k.rlike("^(BIGINT|BOOLEAN|DECIMAL|DOUBLE|FLOAT)"), F.concat(F.lit("d"), F.try_variant_get(x, "$", "double").cast("string")))
+            .otherwise(F.concat(F.lit("j"), F.to_json(x)))
+        )
+
+    return let(v, lambda x: let(kind(x), lambda k: form(x, k)))
 
 
 def unfence(text: Column) -> Column:
@@ -88,20 +96,18 @@ def unfence(text: Column) -> Column:
 
 def strict_object(text: Column) -> Column:
     """The VARIANT of a text that is exactly one JSON object, else null."""
-    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    one = F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1
-    parsed = F.try_parse_json(text)
-    return F.when(text.startswith("{") & text.endswith("}") & one & member.isNotNull() & is_object(parsed), parsed)
+    alone = let(items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+    return F.when(text.startswith("{") & text.endswith("}") & member.isNotNull(), let(alone, lambda x: F.when(is_object(x), x)))
 
 
 def parse_object(text: Column, brace_fallback: bool = False) -> Column:
     """A prediction as VARIANT: stripped, unfenced, exactly one object; with the fallback also what the outermost braces hold."""
-    body = unfence(strip(text))
-    found = strict_object(body)
-    if brace_fallback:
-        found = F.coalesce(found, strict_object(F.regexp_extract(body, r"(?s)\{.*\}", 0)))
-    return found
+    def parse(body: Column) -> Column:
+        found = strict_object(body)
+        return F.coalesce(found, strict_object(F.regexp_extract(body, r"(?s)\{.*\}", 0))) if brace_fallback else found
+
+    return let(strip(text), lambda t: let(unfence(t), parse))
 
 
 def from_struct(c: Column) -> Column:

@@ -25,6 +25,10 @@ def _text(v: Column, d: Dialect) -> Column:
 
 def duration_form(v: Column, d: Dialect) -> Column:
     """Canonical duration; ``n`` is none."""
+    return j.let(v, lambda x: _duration_form(x, d))
+
+
+def _duration_form(v: Column, d: Dialect) -> Column:
     value, unit = j.get(v, "value"), j.get(v, "unit")
     form = F.concat(F.lit("o"), j.canonical(value), F.lit("|"), j.canonical(unit, lower=d.lower_status))
     if d.bad_duration_is_none:
@@ -35,19 +39,26 @@ def duration_form(v: Column, d: Dialect) -> Column:
 
 def sorted_forms(v: Column, d: Dialect, missing_key_is_empty: bool = True) -> Column:
     """A list of strings, normalized and sorted. Lists of mixed types keep their order; other values are told apart."""
+    return j.let(v, lambda x: _sorted_forms(x, d, missing_key_is_empty))
+
+
+def _sorted_forms(v: Column, d: Dialect, missing_key_is_empty: bool) -> Column:
     elements = j.items(v)
     if d.other_to_empty:
         texts = F.filter(F.transform(F.coalesce(elements, F.expr("cast(array() as array<variant>)")), lambda x: F.concat(F.lit("s"), normalize_string(j.string(x)))), lambda x: x.isNotNull())
         return F.array_sort(texts)
-    forms = F.transform(elements, lambda x: j.canonical(x, lower=True))
-    alike = F.size(F.array_distinct(F.transform(forms, lambda x: F.substring(x, 1, 1)))) <= 1
-    listed = F.when(alike, F.array_sort(forms)).otherwise(forms)
+    alike = lambda forms: F.size(F.array_distinct(F.transform(forms, lambda x: F.substring(x, 1, 1)))) <= 1
+    listed = j.let(F.transform(elements, lambda x: j.canonical(x, lower=True)), lambda forms: F.when(alike(forms), F.array_sort(forms)).otherwise(forms))
     empty = F.when(v.isNull(), F.expr(NO_STRINGS)) if missing_key_is_empty else F.when(F.lit(False), F.expr(NO_STRINGS))
     return F.coalesce(listed, empty, F.array(F.concat(F.lit("!"), j.canonical(v))))
 
 
 def group_form(v: Column, d: Dialect) -> Column:
     """{status, items} as one array: the status first. Other values are told apart."""
+    return j.let(v, lambda x: _group_form(x, d))
+
+
+def _group_form(v: Column, d: Dialect) -> Column:
     status = j.canonical(j.get(v, "status"), lower=d.lower_status)
     held = j.get(v, "items")
     form = F.concat(F.array(status), sorted_forms(held, d))
@@ -61,6 +72,10 @@ def group_form(v: Column, d: Dialect) -> Column:
 
 def entries(v: Column, d: Dialect) -> Column:
     """Symptom entries in order: name, status and duration forms. Null where the dialect can't read the list."""
+    return j.let(v, lambda x: _entries(x, d))
+
+
+def _entries(v: Column, d: Dialect) -> Column:
     elements = j.items(v)
     entry = lambda x: F.struct(
         _text(j.get(x, "name"), d).alias("name"),
@@ -93,9 +108,8 @@ def derived_missing(v: Column) -> Column:
     Duration is lacking if no symptom has the chief complaint's name, or if the
     first that has it has none; a group if its status is exactly ``unknown``.
     """
-    chief = j.canonical(j.get(v, "chief_complaint"), lower=True)
-    same = F.filter(j.items(j.get(v, "symptoms")), lambda x: j.is_object(x) & (j.canonical(j.get(x, "name"), lower=True) == chief))
-    no_duration = F.coalesce(j.is_none(j.get(F.get(same, F.lit(0)), "duration")), F.lit(True))
+    same = lambda chief: F.filter(j.items(j.get(v, "symptoms")), lambda x: j.is_object(x) & (j.canonical(j.get(x, "name"), lower=True) == chief))
+    no_duration = j.let(j.canonical(j.get(v, "chief_complaint"), lower=True), lambda chief: j.is_none(j.get(F.get(same(chief), F.lit(0)), "duration")))
     unknown = lambda key: F.coalesce(j.string(j.get(j.get(v, key), "status")) == "unknown", F.lit(False))
     flags = (no_duration, unknown("medications"), unknown("allergies"))
     return F.array_compact(F.array(*[F.when(f, F.lit(name)) for f, name in zip(flags, MISSING, strict=True)]))
@@ -119,13 +133,16 @@ def with_derived_missing(target: Column) -> Column:
 
 def record_form(v: Column, d: Dialect) -> Column:
     """Everything that the metrics of a dialect compare."""
-    found = entries(j.get(v, "symptoms"), d)
-    return F.struct(
-        _text(j.get(v, "chief_complaint"), d).alias("chief"),
-        found.alias("entries"),
-        symptom_map(found, d).alias("map"),
-        group_form(j.get(v, "medications"), d).alias("medications"),
-        group_form(j.get(v, "allergies"), d).alias("allergies"),
-        sorted_forms(j.get(v, "missing_information"), d, missing_key_is_empty=d.name != "e2").alias("missing"),
-        F.array_sort(F.transform(derived_missing(v), lambda x: F.concat(F.lit("s"), x))).alias("derived"),
-    )
+
+    def form(found: Column) -> Column:
+        return F.struct(
+            _text(j.get(v, "chief_complaint"), d).alias("chief"),
+            found.alias("entries"),
+            symptom_map(found, d).alias("map"),
+            group_form(j.get(v, "medications"), d).alias("medications"),
+            group_form(j.get(v, "allergies"), d).alias("allergies"),
+            sorted_forms(j.get(v, "missing_information"), d, missing_key_is_empty=d.name != "e2").alias("missing"),
+            F.array_sort(F.transform(derived_missing(v), lambda x: F.concat(F.lit("s"), x))).alias("derived"),
+        )
+
+    return j.let(entries(j.get(v, "symptoms"), d), form)

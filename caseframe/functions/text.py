@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseframe.functions.arrays import let
+
 #: White space as in Unicode, with the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
@@ -31,8 +33,12 @@ def tokenize(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined windows of ``n`` tokens; none where there are fewer."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, windows)
 
 
 def arabic_digits(text: Column, language: Column) -> Column:

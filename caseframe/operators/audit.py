@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseframe.functions import text as tx
+from caseframe.functions.arrays import elements
 from caseframe.functions.text import ratio
 from caseframe.schema import MAX_TOKENS
 
@@ -66,7 +67,7 @@ def coverage_values(df: DataFrame, by: str, target: str = "target") -> DataFrame
         F.transform(f["statuses"], lambda s: pair("symptom_status", s)),
         F.transform(F.col(target)["missing_information"], lambda m: pair("missing_information", m)),
     ]
-    rows = df.select(by, F.explode(F.concat(single, *many)).alias("_c"))
+    rows = elements(df, F.concat(single, *many), "_c", by)
     return rows.groupBy(by, F.col("_c.field").alias("field"), F.col("_c.value").alias("value")).agg(F.count("*").alias("total"))
 
 
@@ -78,7 +79,7 @@ def lexical_stats(df: DataFrame, text: str, by: tuple[str, ...]) -> DataFrame:
     """
     base = df.select(*by, tx.normalize_text(F.col(text)).alias("_t"), tx.tokenize(F.col(text)).alias("_w"))
     whole = base.groupBy(*by).agg(F.count("*").alias("utterances"), F.count_distinct("_t").alias("distinct_utterances"))
-    counts = base.select(*by, F.explode("_w").alias("_w")).groupBy(*by, "_w").agg(F.count("*").alias("n"))
+    counts = elements(base, "_w", "_w", *by).groupBy(*by, "_w").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"), F.sum(F.col("n") * F.ln("n")).alias("_nlogn"))
     out = whole.join(totals, list(by), "left").fillna(0, ["tokens", "vocabulary"]).fillna(0.0, ["_nlogn"])
     # Shannon entropy of the token counts over its maximum: (ln T - sum(n ln n) / T) / ln V.
@@ -89,7 +90,7 @@ def lexical_stats(df: DataFrame, text: str, by: tuple[str, ...]) -> DataFrame:
 def top_terms(df: DataFrame, text: str, by: tuple[str, ...], k: int, n: int = 1) -> DataFrame:
     """The ``k`` most common tokens or n-grams of each group, ties by the term, with their rank."""
     tokens = tx.tokenize(F.col(text))
-    rows = df.select(*by, F.explode(tokens if n == 1 else tx.ngrams(tokens, n)).alias("term"))
+    rows = elements(df, tokens if n == 1 else tx.ngrams(tokens, n), "term", *by)
     counts = rows.groupBy(*by, "term").agg(F.count("*").alias("total"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term")))
     return ranked.where(F.col("rank") <= k)

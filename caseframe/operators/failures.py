@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
 from caseframe.functions import normalize as n
+from caseframe.functions.arrays import elements, once
 from caseframe.schema import E2, Dialect
 
 FAILURE = "array<struct<type:string,symptom:string,expected:string,predicted:string,count:int>>"
@@ -41,10 +42,10 @@ def failures(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction
     kinds = dict(df.dtypes)
     text = j.parse_object(F.col(prediction), dialect.brace_fallback) if kinds[prediction] == "string" else F.col(prediction)
     truth = j.parse_object(F.col(target)) if kinds[target] == "string" else F.col(target) if kinds[target] == "variant" else j.from_struct(F.col(target))
-    staged = df.withColumns({"_p": text, "_t": truth})
-    staged = staged.withColumns({"_pf": n.record_form(F.col("_p"), dialect), "_tf": n.record_form(F.col("_t"), dialect)})
+    staged = df.withColumns({"_p": once(text), "_t": once(truth)})
+    staged = staged.withColumns({"_pf": once(n.record_form(F.col("_p"), dialect)), "_tf": once(n.record_form(F.col("_t"), dialect))})
     p, t = F.col("_pf"), F.col("_tf")
-    staged = staged.withColumns({"_pe": _first_entries(p["entries"]), "_te": _first_entries(t["entries"]), "_pn": F.transform(p["entries"], lambda e: e["name"])})
+    staged = staged.withColumns({"_pe": once(_first_entries(p["entries"])), "_te": once(_first_entries(t["entries"])), "_pn": once(F.transform(p["entries"], lambda e: e["name"]))})
     pe, te = F.col("_pe"), F.col("_te")
     names = lambda c: F.transform(c, lambda e: e["name"])
     of = lambda c, name: F.get(F.filter(c, lambda e: e["name"] == name), F.lit(0))
@@ -64,7 +65,7 @@ def failures(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction
     ]
     blank = F.expr(f"cast(array() as {FAILURE})")
     found = F.when(F.col("_p").isNull(), F.array(_row("invalid_json"))).otherwise(F.concat(*[F.coalesce(x.cast(FAILURE), blank) for x in parts]))
-    out = staged.withColumn("failures", found.cast(FAILURE)).drop("_p", "_t", "_pf", "_tf", "_pe", "_te", "_pn")
+    out = staged.withColumn("failures", once(found.cast(FAILURE))).drop("_p", "_t", "_pf", "_tf", "_pe", "_te", "_pn")
     return out.withColumn("errors", F.array_distinct(F.transform("failures", lambda f: f["type"])))
 
 
@@ -74,12 +75,12 @@ def is_correct() -> Column:
 
 def per_record(failed: DataFrame) -> DataFrame:
     """Records that have each error type."""
-    return failed.select(F.explode("errors").alias("error_type")).groupBy("error_type").agg(F.count("*").alias("records"))
+    return elements(failed, "errors", "error_type").groupBy("error_type").agg(F.count("*").alias("records"))
 
 
 def per_occurrence(failed: DataFrame) -> DataFrame:
     """Occurrences of each error type."""
-    return failed.select(F.explode("failures.type").alias("error_type")).groupBy("error_type").agg(F.count("*").alias("occurrences"))
+    return elements(failed, "failures.type", "error_type").groupBy("error_type").agg(F.count("*").alias("occurrences"))
 
 
 def combinations(failed: DataFrame) -> DataFrame:

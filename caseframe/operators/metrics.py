@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
 from caseframe.functions import normalize as n
+from caseframe.functions.arrays import once
 from caseframe.schema import E2, INFO_STATUSES, METRICS, MISSING, STATUSES, TARGET_FIELDS, UNITS, Dialect
 
 
@@ -28,6 +29,10 @@ def _one_of(v: Column, values: tuple[str, ...]) -> Column:
 
 
 def valid_duration(v: Column, d: Dialect) -> Column:
+    return j.let(v, lambda x: _valid_duration(x, d))
+
+
+def _valid_duration(v: Column, d: Dialect) -> Column:
     sound = _has_keys(v, ("value", "unit")) & F.coalesce(j.number_type(j.get(v, "value")).isin(*d.value_types), F.lit(False)) & _one_of(j.get(v, "unit"), UNITS)
     return j.is_none(v) | sound
 
@@ -41,7 +46,7 @@ def schema_valid(v: Column, d: Dialect = E2) -> Column:
 
     def symptom(x: Column) -> Column:
         status, duration = j.get(x, "status"), j.get(x, "duration")
-        sound = _has_keys(x, ("name", "status", "duration")) & j.is_string(j.get(x, "name")) & _one_of(status, STATUSES) & valid_duration(duration, d)
+        sound = j.is_object(x) & _has_keys(x, ("name", "status", "duration")) & j.is_string(j.get(x, "name")) & _one_of(status, STATUSES) & valid_duration(duration, d)
         return sound if d.absent_may_have_duration else sound & ((j.string(status) == "present") | j.is_none(duration))
 
     missing = (lambda x: _one_of(x, MISSING)) if d.fixed_missing else j.is_string
@@ -111,11 +116,11 @@ def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction",
             return j.parse_object(F.col(name), dialect.brace_fallback)
         return j.from_struct(F.col(name))
 
-    staged = df.withColumns({"_p": variant(prediction), "_t": variant(target)})
-    staged = staged.withColumns({"_pf": n.record_form(F.col("_p"), dialect), "_tf": n.record_form(F.col("_t"), dialect)})
+    staged = df.withColumns({"_p": once(variant(prediction)), "_t": once(variant(target))})
+    staged = staged.withColumns({"_pf": once(n.record_form(F.col("_p"), dialect)), "_tf": once(n.record_form(F.col("_t"), dialect))})
     found = comparisons(F.col("_pf"), F.col("_tf"), dialect)
     valid = F.col("_p").isNotNull()
-    columns = {"valid_json": valid, "schema_valid": schema_valid(F.col("_p"), dialect)} | found
+    columns = {"valid_json": valid, "schema_valid": once(schema_valid(F.col("_p"), dialect))} | found
     return staged.withColumns({m: valid & F.coalesce(columns[m], F.lit(False)) for m in METRICS}).drop("_p", "_t", "_pf", "_tf")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
+from caseframe.functions.arrays import elements
 from caseframe.functions.text import strip
 from caseframe.operators.expectations import require_empty, require_unique
 
@@ -69,7 +70,7 @@ def error_types(column: str) -> Column:
 
 def error_type_counts(verdicts: DataFrame, column: str) -> DataFrame:
     """Occurrences of each error type, most common first; ties by name."""
-    rows = verdicts.select(F.explode(error_types(column)).alias("error_type"))
+    rows = elements(verdicts, error_types(column), "error_type")
     return rows.groupBy("error_type").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "error_type")
 
 

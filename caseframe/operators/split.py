@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caseframe.functions.arrays import elements
 from caseframe.schema import SEED
 
 TRAIN, VALIDATION = 0.8, 0.1
@@ -47,4 +48,4 @@ def distribution(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def exploded_distribution(df: DataFrame, array: str, name: str) -> DataFrame:
-    return df.select(F.explode(array).alias(name)).groupBy(name).agg(F.count("*").alias("total"))
+    return elements(df, array, name).groupBy(name).agg(F.count("*").alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
+from caseframe.functions.arrays import elements, once
 from caseframe.functions.text import strip, western_digits
 from caseframe.schema import INFO_STATUSES, LANGUAGES, MISSING, SAMPLE_SOURCE, SCHEMA_VERSION, SPLITS, STATUSES, TARGET_FIELDS, UNITS
 
@@ -105,14 +106,14 @@ def _promises(pattern: Column, symptoms: Column, medications: Column, allergies:
 def with_case_errors(cases: DataFrame) -> DataFrame:
     """``cases`` (of the case type) with ``errors``: those of the target, the pattern's promises, and a medication that is also an allergen."""
     target = F.struct(*[F.col(f) for f in TARGET_FIELDS])
-    staged = cases.withColumn("_v", j.from_struct(target))
+    staged = cases.withColumn("_v", once(j.from_struct(target)))
     both = F.array_intersect(F.col("medications")["items"], F.col("allergies")["items"])
     more = [
         _error("case_id", ~F.coalesce(F.col("case_id").rlike(r"^\S+$"), F.lit(False))),
         _error("medication_is_allergen", F.size(both) > 0, F.array_join(both, ",")),
     ]
     more += _promises(F.col("case_pattern"), F.col("symptoms"), F.col("medications"), F.col("allergies"), F.col("missing_information"))
-    return staged.withColumn("errors", F.concat(target_errors(F.col("_v")), _collect(*more))).drop("_v")
+    return staged.withColumn("errors", once(F.concat(target_errors(F.col("_v")), _collect(*more)))).drop("_v")
 
 
 def with_sample_errors(samples: DataFrame, cases: DataFrame, splits: DataFrame) -> DataFrame:
@@ -157,4 +158,4 @@ def case_coverage(samples: DataFrame, languages: tuple[str, ...] = LANGUAGES) ->
 
 def error_counts(df: DataFrame) -> DataFrame:
     """Occurrences of each error code."""
-    return df.select(F.explode("errors.code").alias("code")).groupBy("code").agg(F.count("*").alias("occurrences"))
+    return elements(df, "errors.code", "code").groupBy("code").agg(F.count("*").alias("occurrences"))
