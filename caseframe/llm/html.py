@@ -205,7 +205,7 @@ def main_text(page: str | None) -> str:
         up = n.parent.index if n.parent else None
         inside[n.index] = n.index in accepted or up is not None and inside[up]
         # A list or box of links alone is a menu.
-        menu[n.index] = up is not None and menu[up] or n.tag in ("ul", "ol", "div", "section", "table") and n.index not in accepted and n.anchors >= 3 and n.density() >= 0.9
+        menu[n.index] = up is not None and menu[up] or n.tag in ("ul", "ol", "div", "section", "table") and n.index not in accepted and n.anchors >= 3 and n.density() >= 0.8
     return "\n".join(text for owner, text in blocks if inside[owner.index] and not menu[owner.index])
 
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseframe.llm import scratch
+from caseframe.llm.columns import shield
 from caseframe.llm.prefix import bits_for, bucket_of, hash_key, offsets
 
 WORD = r"[^\x20\x09-\x0D]+"
+MADE = ("size", "source_size", "target", "taken")
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +75,8 @@ def mix(
     size = word_count(F.col("text")) if size is None else size
     bits = bits_for(docs.count(), rows_per_bucket)
     key = hash_key(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), seed=seed)
-    rows = docs.drop("size", "source_size", "target", "taken").select(
+    inside, original = shield(docs, ("doc_id", "text", "source"), MADE)
+    rows = inside.select(
         "*",
         size.alias("size"),
         F.col("source").isNotNull().alias("_known"),
@@ -87,12 +90,12 @@ def mix(
     sizes = stats.groupBy(*by).agg(F.sum("_size").alias("source_size"))
     goals = targets(sizes, weights, share, cap)
     starts = offsets(stats, by, "_bucket", "_size", "_start").drop("_size").join(goals, by)
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_key", "doc_id", "_tie")
-    rows = rows.join(starts, [*by, "_bucket"]).withColumn("_end", F.col("_start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = Window.partitionBy(*by, "_bucket").orderBy("_key", "doc_id", "_tie")
+    rows = rows.join(starts, [*by, "_bucket"]).withColumn("_end", F.col("_start") + F.sum("size").over(bucket.rowsBetween(Window.unboundedPreceding, 0)))
     budget = F.round("target").cast("long")
     rest = budget % F.greatest("source_size", F.lit(1))
     taken = F.col("size") * F.floor(budget / F.greatest("source_size", F.lit(1))) + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).drop(*by, "_key", "_tie", "_bucket", "_start", "_end")
+    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).select(*original(), *MADE)
 
 
 def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
@@ -104,7 +107,7 @@ def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
     whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     parts = F.when(F.col("taken") > 0, F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    rows = mixed.withColumn("_part", F.explode(parts))
+    rows = mixed.withColumn("mix:part", F.explode(parts))
     pieces = F.expr(rf"regexp_extract_all({words_column}, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
-    cut = F.array_join(F.slice(pieces, 1, F.col("_part")), "")
-    return rows.withColumn(words_column, F.when(F.col("_part") < F.col("size"), cut).otherwise(F.col(words_column))).drop("_part", "size", "source_size", "target", "taken")
+    cut = F.array_join(F.slice(pieces, 1, F.col("mix:part")), "")
+    return rows.withColumn(words_column, F.when(F.col("mix:part") < F.col("size"), cut).otherwise(F.col(words_column))).drop("mix:part", *MADE)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseframe.llm import scratch
+from caseframe.llm.columns import shield
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Fixed point: a unit of a statistic.
@@ -26,6 +27,7 @@ DIMS = len(FLOORS)
 #: Share of a group's documents that the estimate is made from.
 CORE = 0.75
 STEPS = 4
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 #: Groups with fewer documents share their language's pool; a smaller pool rejects nothing.
 LEAST = 100
 #: Distances are put in bins this many to a factor of e; a step keeps whole bins.
@@ -215,11 +217,14 @@ def judge(docs: DataFrame, tail: float = TAIL, carry: tuple[str, ...] | None = N
     rows count each; an empty table gives an empty result. Own columns of these
     names are replaced.
     """
-    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    base = with_statistics(docs.drop(*own)).withColumn("base_failed", base_failed())
+    wanted = docs if carry is None else docs.select(*dict.fromkeys((*carry, "text", "lang", "source")))
+    inside, original = shield(wanted, ("text", "lang", "source"), MADE)
+    base = with_statistics(inside).withColumn("base_failed", base_failed())
+    # Texts move on only where they are asked for.
+    held = [c for c in inside.columns if c != "text" or carry is None or "text" in carry]
+    names = [c for c in wanted.columns if c.lower() not in MADE]
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    keep = [c for c in docs.columns if c not in own] if carry is None else list(carry)
-    rows = scratch.keep(base.select(*keep, *own[:-1], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
+    rows = scratch.keep(base.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
     sizes = rows.where("not base_failed").groupBy("_lang", "_own").agg(F.count("*").alias("_n"))
     pool = F.sum(F.when(F.col("_n") < LEAST, F.col("_n"))).over(Window.partitionBy("_lang"))
     # "?" names a language's pool; names of sources begin with "=" or are empty.
@@ -230,4 +235,5 @@ def judge(docs: DataFrame, tail: float = TAIL, carry: tuple[str, ...] | None = N
     found = sizes.join(estimates(x), GROUP).drop("_source", "logdet")
     out = _distance(rows.join(found, ["_lang", "_own"], "left"))
     within = F.coalesce(F.col("d2") <= _chi_quantile(1 - tail, DIMS), F.lit(True))
-    return out.select(*keep, *own[:-1], (~F.col("base_failed") & within).alias("kept"), "d2")
+    back = [c for c, name in zip(original(), names, strict=True) if carry is None or name in carry]
+    return out.select(*back, *MADE[:6], (~F.col("base_failed") & within).alias("kept"), "d2")

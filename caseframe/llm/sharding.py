@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseframe.llm import scratch
+from caseframe.llm.columns import shield
 from caseframe.llm.prefix import bits_for, bucket_of, hash_key, offsets
 
 TRIES = 64
+MADE = ("law", "shard", "slot")
 #: ln(n!) for n under 10; Stirling's series serves the rest to about 1e-11.
 LOG_FACTORIALS = ", ".join(f"{math.lgamma(n + 1)!r}D" for n in range(10))
 
@@ -130,10 +132,10 @@ def shuffle_shards(rows: DataFrame, shards: int = 40, seed: str = "shards", key:
     """
     n = rows.count()
     bits = bits_for(n, rows_per_block)
-    rows = rows.drop("law", "shard", "slot")
+    rows, original = shield(rows, (key,), MADE)
     first, second, third = (hash_key(F.col(key), seed=f"{seed}{i}") for i in range(3))
     # Equal keys, of which there may be many, are spread by a hash of the whole row.
-    columns = [F.col(c) for c in rows.columns]
+    columns = [F.col(f"`{c}`") for c in rows.columns]
     rows = rows.withColumn("_row", F.xxhash64(*columns)).withColumn("_block", bucket_of(F.when(F.col(key).isNull(), F.shiftrightunsigned("_row", 4)).otherwise(first), bits))
     blocks = scratch.keep(rows.groupBy("_block").agg(F.count("*").alias("_n")), "blocks")
     matrix = communication_matrix(blocks, n, shards, seed, bits)
@@ -154,5 +156,5 @@ def shuffle_shards(rows: DataFrame, shards: int = 40, seed: str = "shards", key:
         dealt.join(starts, ["shard", "_part"])
         .withColumn("slot", (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
         .withColumn("law", F.lit("rows"))
-        .drop("_row", "_again", "_part", "_start")
+        .select(*original(), *MADE)
     )

@@ -11,9 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseframe.llm.columns import shield
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is a cache line: eight 64-bit words, one bit in each for every key.
 WORDS = 8
+MADE = ("host", "path", "rule", "verdict")
 #: At most so many blocks: the filter that goes to every task is 8 MB at most, whatever the list's length.
 MAX_BLOCKS = 1 << 17
 #: Query parameters that don't tell pages apart.
@@ -74,11 +77,11 @@ def bloom_filter(keys: DataFrame, column: str, blocks: int) -> DataFrame:
     runs = F.transform(
         F.col("used"),
         lambda x, i: F.concat(
-            F.flatten(F.array_repeat(empty, (x["_block"] - F.when(i > 0, F.element_at("used", F.greatest(i, F.lit(1)))["_block"]).otherwise(-1) - 1).cast("int"))),
+            F.flatten(F.array_repeat(empty, (x["_block"] - F.when(i > 0, F.try_element_at("used", F.greatest(i, F.lit(1)))["_block"]).otherwise(-1) - 1).cast("int"))),
             x["w"],
         ),
     )
-    last = F.coalesce(F.element_at("used", -1)["_block"], F.lit(-1))
+    last = F.coalesce(F.try_element_at("used", F.lit(-1))["_block"], F.lit(-1))
     tail = F.flatten(F.array_repeat(empty, (F.lit(blocks) - 1 - last).cast("int")))
     return packed.select(F.concat(F.flatten(runs), tail).alias("filter"))
 
@@ -103,15 +106,15 @@ def judge(
     wanted = max(1, keys.count() * bits_per_key // (64 * WORDS))
     blocks = min(MAX_BLOCKS, 1 << (wanted - 1).bit_length())
     masks = _masks()
-    rows = pages.drop("host", "path", "rule", "verdict").select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("_canonical"))
+    rows, original = shield(pages, ("url",), MADE)
+    rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("_canonical"))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_bits", F.xxhash64("_canonical", F.lit(1)))
     rows = rows.withColumn("_at", (F.pmod(F.xxhash64("_canonical"), F.lit(blocks)) * WORDS).cast("int"))
     words = bloom_filter(keys, "_canonical", blocks).scalar()
     hits = [F.element_at(words, F.col("_at") + i + 1).bitwiseAND(m) == m for i, m in enumerate(masks)]
     possible = F.coalesce(F.col("_rule").isNull() & F.col("_canonical").isNotNull() & reduce(lambda a, b: a & b, hits), F.lit(False))
-    helpers = ("_canonical", "_rule", "_bits", "_at")
-    decided = lambda df, other: df.select("*", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", other).alias("verdict")).drop(*helpers)
+    decided = lambda df, other: df.select(*original(), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", other).alias("verdict"))
     sure = decided(rows.where(~possible), F.lit("allow"))
     checked = rows.where(possible).join(keys.withColumn("_listed", F.lit("block")), "_canonical", "left")
-    checked = decided(checked, F.coalesce("_listed", F.lit("allow"))).drop("_listed")
+    checked = decided(checked, F.coalesce("_listed", F.lit("allow")))
     return sure.unionByName(checked)
