@@ -25,10 +25,11 @@ def read_jsonl_permissive(spark: SparkSession, path: str, schema: str, key: tupl
 
     With a key, the last row of each key stays: by file, then by position in it.
     """
-    lines = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(f"{schema}, {CORRUPT} string").json(path)
-    rows = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    bad = rows.where(f"{CORRUPT} is not null").select(CORRUPT)
-    good = rows.where(f"{CORRUPT} is null").drop(CORRUPT)
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    lines = spark.read.text(path).select("value", parsed.alias("_row"), *place).where(F.trim("value") != "")
+    bad = lines.where(F.col(f"_row.{CORRUPT}").isNotNull()).select(F.col("value").alias(CORRUPT))
+    good = lines.where(F.col(f"_row.{CORRUPT}").isNull()).select("_row.*", "_file", "_block", "_at").drop(CORRUPT)
     if key:
         good = keep_last(good, key, ("_file", "_block", "_at"))
     return good.drop("_file", "_block", "_at"), bad
@@ -36,7 +37,7 @@ def read_jsonl_permissive(spark: SparkSession, path: str, schema: str, key: tupl
 
 def numbered_errors(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text) of the lines that hold no JSON value; whole files are read in order, so it serves diagnosis of single files."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "text"))
     blank = F.trim("text") == ""
     return text.where(~blank & F.expr("try_parse_json(text)").isNull()).select("file", (F.col("pos") + 1).alias("line"), "text")
 
