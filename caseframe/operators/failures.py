@@ -113,10 +113,10 @@ def cross_language(results: DataFrame, case: str = "case_id", language: str = "l
     return cases.select(case, kind.alias("class"), "failing", signature.alias("signature"))
 
 
-def capped(cases: DataFrame, by: str, order: str, caps: dict[str, int]) -> DataFrame:
-    """The first cases of each category, in order, up to the category's cap."""
+def capped(cases: DataFrame, by: str, order: str, caps: dict[str, int] | int) -> DataFrame:
+    """The first cases of each category, in order, up to the category's cap, or one for all."""
     from pyspark.sql.window import Window
 
-    limit = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+    limit = F.lit(caps) if isinstance(caps, int) else F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col(by)]
     ranked = cases.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    return ranked.where(F.col("_rank") <= limit[F.col(by)]).drop("_rank")
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")

@@ -453,6 +453,52 @@ def target_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(state.alias("state")).agg(F.count("*").alias("total"))
 
 
+@query
+def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(tx.title_label(F.concat("event_type", F.lit("_done"))).alias("label"))
+    return split.distribution(rows, "label")
+
+
+@query
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.safe_model_name(F.concat(F.lit(" "), "p_name", F.lit("+"), "p_brand", F.lit("/"), "p_type")).alias("name"))
+
+
+@query
+def positional_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinals whose input and output rows differ."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("case_id"))
+    answers = rows.withColumn("case_id", F.when(F.col("ordinal") % 50 == 0, F.lit(-1).cast("long")).otherwise(F.col("case_id"))).where("ordinal % 101 <> 0")
+    return model_io.aligned(rows, answers, "ordinal", ("case_id",))
+
+
+@query
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.md5(model_io.judge_prompt(F.col("source"), F.col("lang"), F.col("text"))).alias("prompt_md5"))
+
+
+@query
+def failed_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 failing cases of each language."""
+    failed = views.language_results(spark, sf_dir).where("not correct")
+    return failures.capped(failed, "language", "case_id", 20).select("language", "case_id")
+
+
+@query
+def truncated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    audited = audit.token_audit(table(spark, sf_dir, "documents").select("doc_id", "text"), F.least(words, F.lit(40)), words)
+    return audited.where("truncated").select("doc_id", (F.col("assistant_tokens_lost") > 0).alias("target_truncated"))
+
+
+@query
+def sorted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed values written back as compact JSON."""
+    v = j.strict_object(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(v).alias("json")).where("event_id % 7 = 0 or json is not null")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -186,6 +186,14 @@ E1_METRICS = ("valid_json", "schema_valid", "chief_complaint", "symptom_extracti
 E3_METRICS = ("valid_json", "schema_valid", "chief_complaint", "symptom_extraction", "symptom_status", "duration", "medication", "allergy", "missing_information_raw", "missing_information_derived")
 
 ORACLE: dict[str, str] = {
+    "status_labels": """SELECT upper(event_type[1]) || substr(event_type, 2) || ' Done' AS label, count(*) AS total FROM events GROUP BY 1""",
+    "model_names": """SELECT p_partkey, replace(replace(replace(lower(trim(' ' || p_name || '+' || p_brand || '/' || p_type)), ' ', '_'), '+', 'plus'), '/', '_') AS name FROM part""",
+    "positional_check": "SELECT o_orderkey AS ordinal FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 101 = 0",
+    "judge_prompts": """SELECT doc_id, md5(concat('Case: ', source, chr(10), 'Language: ', lang, chr(10), 'Statement: ', text, chr(10),
+  'Does the statement say exactly what the case says, in this language? Answer with semantic_passed, language_passed, semantic_errors and language_errors as JSON.')) AS prompt_md5 FROM documents""",
+    "failed_first": f"WITH {RESULTS} SELECT language, case_id FROM results WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY language ORDER BY case_id) <= 20",
+    "truncated_samples": AUDITED + " SELECT doc_id, least(assistant, greatest(0, 512 - prompt)) < assistant AS target_truncated FROM a WHERE truncated",
+    "sorted_json": "SELECT event_id, json(props)::VARCHAR AS json FROM events",
     "eval_metrics_overall": with_scores(counted("'ALL'").format("")),
     "eval_metrics_by_language": with_scores(
         f"""
