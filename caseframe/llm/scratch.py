@@ -7,9 +7,11 @@ can read, and later plans get real sizes and column pruning.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
@@ -57,9 +59,15 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 
 
 def _clear() -> None:
+    """At exit: an own folder goes as a whole, tables in the cluster's folder one by one while the session lasts."""
+    for own in _own:
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
     spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        drop(spark, [*_written, *_lasting])
+    if spark is not None and not _own:
+        try:
+            drop(spark, [*_written, *_lasting])
+        except (Py4JError, OSError):  # the session ended first; the folder is the cluster's to clear
+            return
 
 
 atexit.register(_clear)
