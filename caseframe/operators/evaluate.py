@@ -10,11 +10,16 @@ from caseframe.schema import METRICS
 
 
 def metric_counts(scored: DataFrame, by: str | None = "language") -> DataFrame:
-    """One row for each scope (``ALL`` and each language) with the total and a count for each metric; one pass, one shuffle."""
+    """One row for each scope (``ALL`` and each language) with the total and a count for each metric.
+
+    Rows are counted by language first, so the grouping sets add up a row for
+    each language and not every sample twice.
+    """
     counts = [F.count("*").alias("total"), *[F.count_if(m).alias(m) for m in METRICS]]
     if by is None:
         return scored.agg(*counts).withColumn("scope", F.lit("ALL"))
-    grouped = scored.groupingSets([[], [F.col(by)]], F.col(by)).agg(F.grouping(by).alias("_all"), *counts)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", *METRICS)]
+    grouped = scored.groupBy(by).agg(*counts).groupingSets([[], [F.col(by)]], F.col(by)).agg(F.grouping(by).alias("_all"), *sums)
     return grouped.withColumn("scope", F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col(by))).drop("_all", by)
 
 
