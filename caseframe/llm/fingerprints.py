@@ -28,7 +28,7 @@ PIECE = re.compile(r"[^\n.!?]{1,32}[.!?]*|[.!?]+")
 #: Cells that one vectorized attempt may hold.
 CELLS = 1 << 21
 #: One key in so many starts a range of documents; more rows make longer ranges, never more than RANGES.
-RANGE_ROWS, RANGES = 500, 32_768
+RANGE_ROWS, RANGES = 128, 262_144
 LOWEST = -(2**63)
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
