@@ -8,7 +8,8 @@
    the task while they fit there and through another exchange while they don't.
 3. Plausible pairs join classes to candidate groups. Each group's texts meet in
    one task, which compares the full sets of all its documents and confirms
-   links; groups too large for a task are compared node by node instead.
+   links; groups too large for a task are cut to chunks, and all pairs of chunks
+   whose set sizes allow a link meet.
 4. Connected components of the confirmed links are the near-duplicate groups.
 """
 
@@ -41,6 +42,8 @@ SMALL, FITS = 256, 4096
 DEPTH, EXCHANGES = 4, 3
 #: Most classes of a candidate group that one task confirms as a whole.
 GROUP = 4096
+#: Sizes of linked sets are at most 100 / LINK apart, so that they lie in one band of this ratio or in two adjacent ones.
+BAND = 1.34
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -274,6 +277,24 @@ def _rounds(classes: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` (key, rep, band and others), each once for every block that it is in, with the block's id as the key.
+
+    The rows of a key and band are dealt to chunks of under half of ``size``. Every
+    two chunks of a key whose bands are equal or adjacent are a block, so that
+    all such rows meet.
+    """
+    chunks = rows.groupBy(key, "band").agg(F.ceil(F.count("*") / max(1, size * 9 // 20)).cast("long").alias("_k"))
+    beside = lambda step, name: chunks.select(key, (F.col("band") + step).alias("band"), F.col("_k").alias(name))
+    chunks = chunks.join(beside(1, "_below"), [key, "band"], "left").join(beside(-1, "_above"), [key, "band"], "left").na.fill(0, ["_below", "_above"])
+    held = rows.join(chunks, [key, "band"]).withColumn("_c", F.pmod(F.xxhash64(key, "rep"), F.col("_k")))
+    own = "transform(filter(sequence(0L, _k - 1), x -> _k = 1 or x <> _c), x -> xxhash64({key}, band, least(x, _c), band, greatest(x, _c)))"
+    below = "if(_below = 0, array(), transform(sequence(0L, greatest(_below, 1L) - 1), x -> xxhash64({key}, band - 1, x, band, _c)))"
+    above = "if(_above = 0, array(), transform(sequence(0L, greatest(_above, 1L) - 1), x -> xxhash64({key}, band, _c, band + 1, x)))"
+    block = F.explode(F.expr(f"concat({own}, {below}, {above})".format(key=key)))
+    return held.withColumn(key, block).drop("band", "_k", "_c", "_below", "_above")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest node that it reaches.
 
@@ -369,35 +390,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = scratch.keep(texts.mapInArrow(_sign, SIGNED), "signed")
     usable = signed.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens"))
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens"), F.max("n_shingles").alias("n_shingles"))
     classes = scratch.keep(classes, "classes")
     pairs = _rounds(classes)
     groups = scratch.keep(components(pairs), "groups")
-    counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
-    small = counted.where(F.col("n") <= GROUP).select("component", F.col("node").alias("rep"))
-    large = counted.where(F.col("n") > GROUP).select(F.col("node").alias("rep"))
+    counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").withColumnRenamed("node", "rep")
+    met = counted.where(F.col("n") <= GROUP).select("component", "rep")
+    large = counted.where(F.col("n") > GROUP).select("component", "rep")
     if not large.isEmpty():
-        small = small.unionByName(_parts(classes.join(large, "rep", "left_semi")))
+        band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND)))
+        met = met.unionByName(_blocks(classes.join(large, "rep").select("component", "rep", band.alias("band")), "component", GROUP))
     # A merge join at every size: the groups grow with the input, so they are never broadcast.
-    wanted = texts.join(small.select(F.col("rep").alias("doc_id"), "component").hint("merge"), "doc_id")
-    met = wanted.repartition("component").sortWithinPartitions("component", "doc_id").select("component", "doc_id", "text")
-    links = scratch.keep(met.mapInArrow(_confirm, "a long, b long"), "confirmed")
+    wanted = texts.join(met.select(F.col("rep").alias("doc_id"), "component").hint("merge"), "doc_id")
+    texts = wanted.repartition("component").sortWithinPartitions("component", "doc_id").select("component", "doc_id", "text")
+    links = scratch.keep(texts.mapInArrow(_confirm, "a long, b long"), "confirmed")
     found = components(links)
     labels = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     some = usable.join(labels, "digest").select("doc_id", "n_shingles", "component_id")
     alone = signed.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _parts(classes: DataFrame) -> DataFrame:
-    """(component, rep): the nodes of a group too large for a task, cut to parts that fit.
-
-    Every tree's root children are parts; those with more than GROUP classes
-    are dealt to as many chunks as they need, each time by another hash, so
-    that linked classes meet in some tree.
-    """
-    nodes = classes.select("rep", "tokens").mapInArrow(_roots, "node long, rep long, nibbles binary").select("node", "rep")
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    chunk = F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("n") / GROUP))
-    return nodes.join(sizes, "node").select(F.xxhash64("node", chunk).alias("component"), "rep")

@@ -168,3 +168,16 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_groups_too_large_for_a_task_are_compared_whole(spark, monkeypatch):
+    """Pairs of near copies among texts of one template, which is plausible with itself but no link."""
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    rng = random.Random(11)
+    fresh = lambda k: ["w%d" % rng.randrange(10**6) for _ in range(k)]
+    passage, rows = fresh(60), []
+    for i in range(0, 80, 2):
+        words = passage + fresh(20)
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-1] + fresh(1)) + (" more" * (i % 3)))]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute(rows) and sorted(Counter(c for _, c in out.values()).values()) == [2] * 40
