@@ -6,6 +6,7 @@
    its documents go to a child for each selected position's value. Small nodes
    are compared exhaustively on their tokens; larger ones branch again, within
    the task while they fit there and through another exchange while they don't.
+   A late node that branching doesn't part is compared in all pairs of chunks.
 3. Plausible pairs join classes to candidate groups. Each group's texts meet in
    one task, which compares the full sets of all its documents and confirms
    links; groups too large for a task are cut to chunks, and all pairs of chunks
@@ -16,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,9 @@ ROOTS = 16
 PLAUSIBLE = int(SIZE * (0.55 * 15 / 16 + 1 / 16))
 #: Nodes up to SMALL are compared at once, those up to FITS within a task.
 SMALL, FITS = 256, 4096
-#: Levels of branching within a task, and through exchanges.
+#: Levels of branching within a task, and through exchanges before nodes that keep over DENSE of their parent are cut to chunks.
 DEPTH, EXCHANGES = 4, 3
+DENSE = 0.8
 #: Most classes of a candidate group that one task confirms as a whole.
 GROUP = 4096
 #: Sizes of linked sets are at most 100 / LINK apart, so that they lie in one band of this ratio or in two adjacent ones.
@@ -183,6 +186,11 @@ def _branch(node: int, depth: int) -> list[int]:
     return [first, (first + 1 + (h >> 16) % (SIZE - 1)) % SIZE] if (h >> 40) % 3 == 0 else [first]
 
 
+def _exchanged(node: int, level: int) -> list[int]:
+    """Positions that a node selects at an exchange: those of no root, and others at each of seven levels."""
+    return sorted({p - p % (SIZE // ROOTS) + 1 + level % (SIZE // ROOTS - 1) for p in _branch(node, 100 + level)})
+
+
 def _descend(node: int, rows: np.ndarray, tokens: np.ndarray, depth: int, forest: _Forest, found: list[tuple[int, int]]) -> None:
     if len(rows) <= SMALL or depth >= DEPTH:
         _exhaust(rows, tokens, forest, found)
@@ -194,25 +202,34 @@ def _descend(node: int, rows: np.ndarray, tokens: np.ndarray, depth: int, forest
             if len(inside) > 1:
                 child = int(_node_ids(np.array([node], dtype=np.uint64), p, np.array([v], dtype=np.uint64))[0])
                 # A child that keeps nearly all rows is a dense node: branching can't part it.
-                _descend(child, inside, tokens, DEPTH if len(inside) > 0.8 * len(rows) else depth + 1, forest, found)
+                _descend(child, inside, tokens, DEPTH if len(inside) > DENSE * len(rows) else depth + 1, forest, found)
+
+
+LEVEL = "kind int, a long, b long, nibbles binary, family long"
 
 
-def _level(level: int):
-    """Runs of equal nodes: pairs (kind 0: a, b) of those that fit the task, children (kind 1: node, rep, nibbles) of the others."""
+def _level(level: int, last: bool | None = None, whole: bool = False):
+    """Runs of equal nodes: pairs (kind 0: a, b) of those that fit the task, children (kind 1: node, rep, nibbles, family) of the others.
 
-    def emit(kind: int, a: np.ndarray, b: np.ndarray, packed: np.ndarray | None) -> pa.RecordBatch:
+    The last level has no children: each of its runs is held at once, and ``whole`` compares all of its pairs.
+    """
+    last = level >= EXCHANGES if last is None else last
+
+    def emit(kind: int, a: np.ndarray, b: np.ndarray, packed: np.ndarray | None, family: int | None = None) -> pa.RecordBatch:
         bits = _fixed(packed) if packed is not None else pa.nulls(len(a), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), bits], ["kind", "a", "b", "nibbles"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), bits, pa.array([family] * len(a), pa.int64())], ["kind", "a", "b", "nibbles", "family"])
 
     def children(node: int, reps: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
         tokens = _unpack(packed)
-        for p in _branch(node & (2**64 - 1), 100 + level):
-            ids = _node_ids(np.full(len(reps), node, dtype=np.int64).view(np.uint64), p, tokens[:, p])
-            yield emit(1, ids.view(np.int64), reps, packed)
+        for p in _exchanged(node & (2**64 - 1), level):
+            salt = np.full(len(reps), node, dtype=np.int64).view(np.uint64)
+            # Children of one node at one position are a family; no token is SIZE.
+            family = _node_ids(salt[:1], p, np.array([SIZE])).view(np.int64)
+            yield emit(1, _node_ids(salt, p, tokens[:, p]).view(np.int64), reps, packed, int(family[0]))
 
     def solve(node: int, reps: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        _descend(node & (2**64 - 1), np.arange(len(reps)), _unpack(packed), 0, _Forest(len(reps)), found)
+        _descend(node & (2**64 - 1), np.arange(len(reps)), _unpack(packed), DEPTH if whole else 0, _Forest(len(reps)), found)
         pairs = np.array([(reps[x], reps[y]) for x, y in found if reps[x] != reps[y]], dtype=np.int64).reshape(-1, 2)
         if len(pairs):
             yield emit(0, pairs.min(axis=1), pairs.max(axis=1), None)
@@ -220,7 +237,6 @@ def _level(level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, packed, nodes = np.empty(0, dtype=np.int64), np.empty((0, SIZE // 2), dtype=np.uint8), np.empty(0, dtype=np.int64)
         large: int | None = None  # the node whose rows have begun to go to children
-        pivots: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -238,40 +254,44 @@ def _level(level: int):
             if large is not None and len(starts) > 1 or large is not None and nodes[0] == large:
                 e = int(ends[0]) if nodes[0] == large else 0
                 if e:
-                    yield from spill(large, reps[:e], packed[:e], pivots)
+                    yield from children(large, reps[:e], packed[:e])
                     s = max(s, e)
-            if s < len(nodes) and len(nodes) - s > FITS:
-                large, pivots = int(nodes[s]), (reps[s : s + 64], packed[s : s + 64])
-                yield from spill(large, reps[s:], packed[s:], pivots)
+            if not last and s < len(nodes) and len(nodes) - s > FITS:
+                large = int(nodes[s])
+                yield from children(large, reps[s:], packed[s:])
                 s = len(nodes)
             nodes, reps, packed = nodes[s:], reps[s:], packed[s:]
         if len(nodes) > 1 and nodes[0] != large:
             yield from solve(int(nodes[0]), reps, packed)
         elif len(nodes) and nodes[0] == large:
-            yield from spill(large, reps, packed, pivots)
-
-    def spill(node: int, reps: np.ndarray, packed: np.ndarray, pivots) -> Iterator[pa.RecordBatch]:
-        if level < EXCHANGES:
-            yield from children(node, reps, packed)
-            return
-        # The last level: chunks are compared exhaustively, and each with the node's first rows.
-        for at in range(0, len(reps), FITS - 64):
-            yield from solve(node, np.concatenate([pivots[0], reps[at : at + FITS - 64]]), np.concatenate([pivots[1], packed[at : at + FITS - 64]]))
+            yield from children(large, reps, packed)
 
     return run
 
 
 def _rounds(classes: DataFrame) -> DataFrame:
     """Plausible pairs (a, b), a < b, of all trees; they join each node's plausible classes, without being all its pairs."""
-    nodes = classes.select("rep", "tokens").mapInArrow(_roots, "node long, rep long, nibbles binary")
-    found = None
-    for level in range(EXCHANGES + 1):
-        spread = nodes.repartition("node").sortWithinPartitions("node", F.xxhash64(F.lit(level), "rep"))
-        both = scratch.keep(spread.mapInArrow(_level(level), "kind int, a long, b long, nibbles binary"), "pairs")
-        pairs = both.where("kind = 0").select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        rest = both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rep"), "nibbles")
-        if level == EXCHANGES or rest.isEmpty():
+    nodes = classes.select("rep", "tokens").mapInArrow(_roots, NODES).withColumn("family", F.lit(None).cast("long"))
+    found = classes.sparkSession.createDataFrame([], "a long, b long")
+
+    def compared(rows: DataFrame, level: int, last: bool, whole: bool = False) -> DataFrame:
+        spread = rows.select("node", "rep", "nibbles").repartition("node").sortWithinPartitions("node", F.xxhash64(F.lit(level), "rep"))
+        return scratch.keep(spread.mapInArrow(_level(level, last, whole), LEVEL), "pairs")
+
+    for level in itertools.count():
+        if level >= EXCHANGES:
+            # Nodes that parted from their parent branch on until they fit; the others are cut to blocks.
+            sizes = nodes.groupBy("node", "family").agg(F.count("*").alias("n"))
+            parents = sizes.groupBy("family").agg(F.sum("n").alias("all"))
+            dense = scratch.keep(sizes.where(F.col("n") > FITS).join(parents, "family").where(F.col("n") > DENSE * F.col("all")).select("node"), "dense")
+            if not dense.isEmpty():
+                blocks = _blocks(nodes.join(dense, "node", "left_semi").select("node", "rep", "nibbles", F.lit(0).alias("band")), "node", FITS)
+                found = found.unionByName(compared(blocks, level, True, True).select("a", "b"))
+                nodes = nodes.join(dense, "node", "left_anti")
+        both = compared(nodes, level, False)
+        found = found.unionByName(both.where("kind = 0").select("a", "b"))
+        rest = both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rep"), "nibbles", "family")
+        if rest.isEmpty():
             break
         nodes = rest
     return found.distinct()

@@ -181,3 +181,22 @@ def test_groups_too_large_for_a_task_are_compared_whole(spark, monkeypatch):
         rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-1] + fresh(1)) + (" more" * (i % 3)))]
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == brute(rows) and sorted(Counter(c for _, c in out.values()).values()) == [2] * 40
+
+
+@pytest.mark.parametrize("equal", [16, 48])
+def test_nodes_over_the_task_lose_no_pairs_at_the_last_exchange(spark, monkeypatch, equal):
+    """200 pairs among 400 rows of the same root nodes; with 48 equal positions of 128 many branches don't part them."""
+    monkeypatch.setattr(neardup, "FITS", 100)
+    monkeypatch.setattr(neardup, "EXCHANGES", 0)
+    rng = np.random.default_rng(3)
+    tokens = np.tile(rng.integers(0, 2**32, (200, neardup.SIZE), dtype=np.uint32), (2, 1))
+    fixed = np.arange(neardup.SIZE) % 8 < equal // 16
+    tokens[:, fixed] = 7
+    classes = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(tokens)], "rep long, tokens binary")
+    # A run that ends within a batch is compared as it is; small batches make the runs stream.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        found = {(r["a"], r["b"]) for r in neardup._rounds(classes).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(i, i + 200) for i in range(200)}
