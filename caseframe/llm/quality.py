@@ -28,7 +28,7 @@ DIMS = len(FLOORS)
 CORE = 0.75
 STEPS = 4
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
-#: Groups with fewer documents share their language's pool; a smaller pool rejects nothing.
+#: Groups with fewer documents share their language's pool; a smaller pool is judged by the whole language, a smaller language by the whole table.
 LEAST = 100
 #: Distances are put in bins this many to a factor of e; a step keeps whole bins.
 BINS = 24
@@ -212,8 +212,9 @@ def judge(docs: DataFrame, tail: float = TAIL, carry: tuple[str, ...] | None = N
     all, are in the result, with d2. Documents that fail the base rule are rejected and
     left out of the estimates. A null text has no words and fails; null
     languages and sources form groups of their own; groups under LEAST
-    documents are judged by their language's pool of such groups, and a pool
-    under LEAST keeps all of its documents that pass the base rule. Repeated
+    documents are judged by their language's pool of such groups, a pool under
+    LEAST by its whole language, and a language under LEAST by the whole table,
+    so that every document that passes the base rule is judged. Repeated
     rows count each; an empty table gives an empty result. Own columns of these
     names are replaced.
     """
@@ -227,13 +228,21 @@ def judge(docs: DataFrame, tail: float = TAIL, carry: tuple[str, ...] | None = N
     rows = scratch.keep(base.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
     sizes = rows.where("not base_failed").groupBy("_lang", "_own").agg(F.count("*").alias("_n"))
     pool = F.sum(F.when(F.col("_n") < LEAST, F.col("_n"))).over(Window.partitionBy("_lang"))
-    # "?" names a language's pool; names of sources begin with "=" or are empty.
-    sizes = sizes.withColumn("_source", F.when(F.col("_n") >= LEAST, F.col("_own")).when(pool >= LEAST, F.lit("?"))).drop("_n")
-    sizes = scratch.keep(sizes.where("_source is not null"), "groups")
+    # "?" names a language's pool and "*" a whole language or the table; names of sources begin with "=" or are empty.
+    every = F.sum("_n").over(Window.partitionBy("_lang"))
+    sizes = sizes.withColumn("_source", F.when(F.col("_n") >= LEAST, F.col("_own")).when(pool >= LEAST, F.lit("?")).otherwise("*"))
+    sizes = sizes.withColumn("_by", F.when((F.col("_source") == "*") & (every < LEAST), F.lit("*")).otherwise(F.col("_lang"))).drop("_n")
+    sizes = scratch.keep(sizes, "groups")
+    # Every group gives its rows to its own estimate, and to its language's and the table's where those are asked for.
+    whole = sizes.where("_source = '*'").select("_by").distinct()
+    own = sizes.where("_source <> '*'").select("_lang", "_own", "_by", "_source")
+    language = sizes.select("_lang", "_own").join(whole.where("_by <> '*'"), F.col("_lang") == F.col("_by")).select("_lang", "_own", "_by", F.lit("*").alias("_source"))
+    table = sizes.select("_lang", "_own").crossJoin(whole.where("_by = '*'")).select("_lang", "_own", "_by", F.lit("*").alias("_source"))
+    given = scratch.keep(own.unionByName(language).unionByName(table), "given")
     columns = [f"x{i}" for i in range(DIMS)]
-    x = rows.where("not base_failed").select("_lang", "_own", *columns).join(sizes, ["_lang", "_own"]).drop("_own")
-    found = sizes.join(estimates(x), GROUP).drop("_source", "logdet")
+    x = rows.where("not base_failed").select("_lang", "_own", *columns).join(given, ["_lang", "_own"]).select(F.col("_by").alias("_lang"), "_source", *columns)
+    found = sizes.join(estimates(x).withColumnRenamed("_lang", "_by"), ["_by", "_source"]).drop("_by", "_source", "logdet")
     out = _distance(rows.join(found, ["_lang", "_own"], "left"))
-    within = F.coalesce(F.col("d2") <= _chi_quantile(1 - tail, DIMS), F.lit(True))
+    within = F.col("d2") <= _chi_quantile(1 - tail, DIMS)
     back = [c for c, name in zip(original(), names, strict=True) if carry is None or name in carry]
     return out.select(*back, *MADE[:6], (~F.col("base_failed") & within).alias("kept"), "d2")

@@ -104,3 +104,15 @@ def test_filter_has_no_false_negative(spark):
     pages = spark.range(10000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h.x/"), "id").alias("url"))
     out = urls.judge(pages, listed)
     assert out.where("verdict = 'block'").count() == 5000 and out.where("(page_id < 5000) <> (verdict = 'block')").count() == 0
+
+
+def test_small_groups_get_a_verdict(spark):
+    """A small source is judged by its language, and a small language by the table."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng.randint(60, 900), rng), "en", "big") for i in range(240)]
+    rows += [(1000 + i, prose(rng.randint(60, 900), rng), *place) for i, place in enumerate([("en", "small"), ("rare", "x"), (None, None)] * 3)]
+    rows += [(2000 + i, " ".join(w + "###" for w in prose(200, rng).split()), *place) for i, place in enumerate([("en", "small"), ("rare", "x"), (None, None)] * 2)]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(out) == len(rows) and all(r["base_failed"] or r["d2"] is not None for r in out.values())
+    assert not any(r["kept"] for i, r in out.items() if i >= 2000)
+    assert all(r["kept"] for i, r in out.items() if i < 2000 and not r["base_failed"])
