@@ -73,6 +73,7 @@ class _Conversation:
         self.past: list[tuple[str, int]] = []  # formatted turns that may be repeated
         self.new: list[tuple[str, int, int, int]] = []  # formatted turn, tokens, target start and end
         self.window, self.total, self.leading = 0, 0, True
+        self.leads = 0  # leading system turns among the new ones
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
         body, opening = escape(text), mark(role)
@@ -89,6 +90,7 @@ class _Conversation:
                 self.past.pop(0)
         target = (len(opening), len(opening) + len(body)) if role == "assistant" else (0, 0)
         self.new.append((formatted, tokens, *target))
+        self.leads += self.leading
 
     def close(self) -> tuple:
         parts = [t for t, _ in self.system] + [t for t, _ in self.past]
@@ -100,12 +102,11 @@ class _Conversation:
             at += len(formatted)
         tokens = sum(n for _, n in self.system) + sum(n for _, n in self.past) + sum(x[1] for x in self.new)
         row = (self.conv, self.window, "".join(parts), spans, len(self.new), len(parts) - len(self.new), tokens, tokens > self.budget)
-        # What follows repeats the leading system turns of the first window and the latest turns that the history holds.
+        # What follows repeats all leading system turns, whatever their length, and the latest turns that the history holds.
         rest = [(t, n) for t, n, *_ in self.new]
-        if self.window == 0:
-            while rest and rest[0][0].startswith(OPEN["system"]) and sum(n for _, n in self.system) + rest[0][1] <= self.budget // 2:
-                self.system.append(rest.pop(0))
-        self.past += rest
+        self.system += rest[: self.leads]
+        self.past += rest[self.leads :]
+        self.leads = 0
         while self.past and sum(n for _, n in self.past) > self.history:
             self.past.pop(0)
         self.window, self.new = self.window + 1, []
@@ -118,8 +119,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     ``conversations`` needs conv_id, turn, role and text. Turns are taken by
     turn, nulls first, then role and text; a null text or role is empty; rows
     with a null conv_id are one conversation; repeated rows are turns of their
-    own. A turn over the budget gets a window of its own, whole, and
-    over_budget says so. Rows are streamed in order, so a conversation of any
+    own. A turn that is over the budget, alone or with the leading system turns
+    that every window repeats, gets a window of its own, whole, and over_budget
+    says so. Rows are streamed in order, so a conversation of any
     length needs no more memory than a window. An empty table gives an empty
     result; other columns are ignored.
     """

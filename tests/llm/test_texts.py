@@ -199,3 +199,15 @@ def test_fingerprints(spark):
         assert len(one) == 1 and one[0]["near_next"] == 1.0
     finally:
         fingerprints.RANGE_ROWS = keep
+
+
+def test_long_system_turns_are_in_every_window(spark):
+    rows = [(c, i, "system" if i < leads else ("assistant", "user")[i % 2], f"{i} " * (n if i < leads else 20)) for c, leads, n in ((1, 1, 150), (2, 1, 300), (3, 2, 120)) for i in range(30)]
+    windows = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=200, history=60).collect()
+    for w in windows:
+        leads = 2 if w["conv_id"] == 3 else 1
+        turns = chat.read_turns(w["text"])
+        if w["window"] >= leads:
+            assert [t[1] for t in turns[:leads]] == [f"{i} " * {1: 150, 2: 300, 3: 120}[w["conv_id"]] for i in range(leads)]
+        assert w["over_budget"] == (w["tokens"] > 200) and (w["tokens"] <= 200 or w["new_turns"] == 1)
+    assert Counter(w["conv_id"] for w in windows for _ in range(w["new_turns"])) == {1: 30, 2: 30, 3: 30}
