@@ -212,3 +212,12 @@ def test_resume_stream(spark, tmp_path):
 
 def test_types_parse(spark):
     assert spark.createDataFrame([], SAMPLE).schema["target"].dataType.simpleString() == TARGET
+
+
+def test_sorted_json_keeps_rows_without_json(spark, tmp_path):
+    from caseframe.plans import catalogue
+
+    rows = [(1, '{"a": 1}'), (2, None), (3, "no json"), (7, None)]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    out = {r["event_id"]: r["json"] for r in catalogue.sorted_json(spark, str(tmp_path)).collect()}
+    assert out == {1: '{"a":1}', 2: None, 3: None, 7: None}
