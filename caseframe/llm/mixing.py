@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseframe.llm import scratch
 from caseframe.llm.columns import shield
 from caseframe.llm.prefix import bits_for, bucket_of, hash_key, offsets
+from caseframe.sources import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MADE = ("size", "source_size", "target", "taken")
@@ -111,3 +111,17 @@ def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
     pieces = F.expr(rf"regexp_extract_all({words_column}, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     cut = F.array_join(F.slice(pieces, 1, F.col("mix:part")), "")
     return rows.withColumn(words_column, F.when(F.col("mix:part") < F.col("size"), cut).otherwise(F.col(words_column))).drop("mix:part", *MADE)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix of ``docs`` as documents with the same columns: ``mix``, then ``repeated``.
+
+    n_chars, where it is there, is the number of characters of the text in the
+    mix. Columns of any name are carried; repeated rows are documents of their
+    own; documents without words are in no mix.
+    """
+    inside, original = shield(docs, ("doc_id", "text", "source"), ())
+    out = repeated(mix(inside, **options)).select(*original())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out

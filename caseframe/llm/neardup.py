@@ -8,10 +8,15 @@
    the task while they fit there and through another exchange while they don't.
    A late node that branching doesn't part is compared in all pairs of chunks.
 3. Plausible pairs join classes to candidate groups. Each group's texts meet in
-   one task, which compares the full sets of all its documents and confirms
-   links; groups too large for a task are cut to chunks, and all pairs of chunks
-   whose set sizes allow a link meet.
+   one task, which confirms links on the full sets of all its documents. Groups
+   too large for a task are cut to chunks: a first round joins what is linked
+   within a chunk or to some pivots that are in all chunks; then every two
+   chunks meet whose set sizes allow a link, except those within the largest
+   group of the first round, whose members are connected already.
 4. Connected components of the confirmed links are the near-duplicate groups.
+
+Vertices are classes of equal sets, named by the first of their rows' own
+numbers, so that rows may share a doc_id and ids may be of any size.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from caseframe.llm import scratch
+from caseframe.llm.columns import shield
+from caseframe.sources import scratch
 
 SHINGLE = 5
 #: A link has 100 * intersection >= LINK * union.
@@ -43,8 +50,10 @@ SMALL, FITS = 256, 4096
 #: Levels of branching within a task, and through exchanges before nodes that keep over DENSE of their parent are cut to chunks.
 DEPTH, EXCHANGES = 4, 3
 DENSE = 0.8
-#: Most classes of a candidate group that one task confirms as a whole.
-GROUP = 4096
+#: Most classes, and most shingles, of a candidate group that one task confirms as a whole.
+GROUP, WEIGHT = 4096, 1 << 21
+#: Classes of an oversized group that meet all of its others in the first round.
+PIVOTS = 64
 #: Sizes of linked sets are at most 100 / LINK apart, so that they lie in one band of this ratio or in two adjacent ones.
 BAND = 1.34
 
@@ -103,18 +112,19 @@ def _fixed(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, tokens binary"
+SIGNED = "row long, doc_id long, n_shingles long, digest binary, tokens binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests, tokens, sizes = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             s = shingles(text)
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             tokens.append(minwise(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "digest", "tokens"])
+        columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_shingles", "digest", "tokens"])
 
 
 NODES = "node long, rep long, nibbles binary"
@@ -285,7 +295,8 @@ def _rounds(classes: DataFrame) -> DataFrame:
             parents = sizes.groupBy("family").agg(F.sum("n").alias("all"))
             dense = scratch.keep(sizes.where(F.col("n") > FITS).join(parents, "family").where(F.col("n") > DENSE * F.col("all")).select("node"), "dense")
             if not dense.isEmpty():
-                blocks = _blocks(nodes.join(dense, "node", "left_semi").select("node", "rep", "nibbles", F.lit(0).alias("band")), "node", FITS)
+                blocks = nodes.join(dense, "node", "left_semi").select("node", "rep", "nibbles", F.lit(0).alias("band"), F.lit(1).alias("side"), F.lit(1).alias("weight"))
+                blocks = _blocks(blocks, "node", FITS)
                 found = found.unionByName(compared(blocks, level, True, True).select("a", "b"))
                 nodes = nodes.join(dense, "node", "left_anti")
         both = compared(nodes, level, False)
@@ -298,21 +309,27 @@ def _rounds(classes: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows`` (key, rep, band and others), each once for every block that it is in, with the block's id as the key.
+    """``rows`` (key, rep, band, side, weight and others), each once for every block that it is in, with the block's id as the key.
 
-    The rows of a key and band are dealt to chunks of under half of ``size``. Every
-    two chunks of a key whose bands are equal or adjacent are a block, so that
-    all such rows meet.
+    The rows of a key, band and side are dealt to chunks of under half of
+    ``size`` rows and of WEIGHT. Every two chunks of a key whose bands are equal
+    or adjacent are a block, but for two of side 0, whose rows are connected.
     """
-    chunks = rows.groupBy(key, "band").agg(F.ceil(F.count("*") / max(1, size * 9 // 20)).cast("long").alias("_k"))
-    beside = lambda step, name: chunks.select(key, (F.col("band") + step).alias("band"), F.col("_k").alias(name))
-    chunks = chunks.join(beside(1, "_below"), [key, "band"], "left").join(beside(-1, "_above"), [key, "band"], "left").na.fill(0, ["_below", "_above"])
-    held = rows.join(chunks, [key, "band"]).withColumn("_c", F.pmod(F.xxhash64(key, "rep"), F.col("_k")))
-    own = "transform(filter(sequence(0L, _k - 1), x -> _k = 1 or x <> _c), x -> xxhash64({key}, band, least(x, _c), band, greatest(x, _c)))"
-    below = "if(_below = 0, array(), transform(sequence(0L, greatest(_below, 1L) - 1), x -> xxhash64({key}, band - 1, x, band, _c)))"
-    above = "if(_above = 0, array(), transform(sequence(0L, greatest(_above, 1L) - 1), x -> xxhash64({key}, band, _c, band + 1, x)))"
-    block = F.explode(F.expr(f"concat({own}, {below}, {above})".format(key=key)))
-    return held.withColumn(key, block).drop("band", "_k", "_c", "_below", "_above")
+    place, kind = [key, "band", "side"], "array<struct<band:int,side:int,chunk:bigint>>"
+    share = lambda value, most: F.ceil(value / max(1, most * 9 // 20)).cast("long")
+    chunks = rows.groupBy(*place).agg(F.greatest(share(F.count("*"), size), share(F.sum("weight"), WEIGHT), F.lit(1)).alias("_k"))
+    held = rows.join(chunks, place).withColumn("_c", F.pmod(F.xxhash64(key, "rep"), F.col("_k")))
+    # What stands beside each place: the other places of its key, at most six with their numbers of chunks.
+    other = chunks.select(key, F.col("band").alias("_band"), F.col("side").alias("_side"), F.col("_k").alias("_n"))
+    beside = chunks.join(other, key).where("abs(band - _band) <= 1 and side + _side > 0").groupBy(*place).agg(F.collect_list(F.struct("_band", "_side", "_n")).alias("_beside"))
+    held = held.join(beside, place, "left").withColumn("_beside", F.coalesce("_beside", F.expr("cast(array() as array<struct<_band:int,_side:int,_n:bigint>>)")))
+    held = held.withColumn("_self", F.struct("band", "side", F.col("_c").alias("chunk")))
+    met = f"flatten(transform(_beside, b -> transform(sequence(0L, b._n - 1), x -> named_struct('band', b._band, 'side', b._side, 'chunk', x))))"
+    # A chunk meets itself in each block that it is in; alone only if it is in no other.
+    met = f"filter(cast({met} as {kind}), x -> x <> _self)"
+    held = held.withColumn("_met", F.expr(f"if(size({met}) = 0 and side > 0, array(_self), {met})"))
+    block = F.explode(F.transform("_met", lambda x: F.xxhash64(F.col(key), F.least(x, F.col("_self")), F.greatest(x, F.col("_self")))))
+    return held.withColumn(key, block).drop("band", "side", "weight", "_k", "_c", "_beside", "_self", "_met")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,8 +340,9 @@ def components(links: DataFrame) -> DataFrame:
     no lineage grows. A node of very many links is pre-aggregated, and its join
     is split by the engine.
     """
-    links = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    with scratch.recorded() as old:
+        links = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    spark, before = links.sparkSession, None
     while True:
         # Large star: neighbours above a node go to its smallest neighbour or itself.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -334,99 +352,172 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        links = scratch.keep(small, "links")
-        now = links.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        with scratch.recorded() as new:
+            links = scratch.keep(small, "links")
+        scratch.drop(spark, old)
+        old = new
+        # Numbers of rows may be of any size, so hashes are added up, not they.
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal groups, on full sets: a spanning forest of the links of every group."""
-
-    def links(reps: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
-        order = sorted(range(len(reps)), key=reps.__getitem__)
-        sets = [shingles(texts[i]) for i in order]
-        reps = [reps[i] for i in order]
-        forest, m = _Forest(len(reps)), len(reps)
-        if m == 2:
-            inside = len(np.intersect1d(*sets, assume_unique=True))
-            if 100 * inside >= LINK * (len(sets[0]) + len(sets[1]) - inside):
-                yield reps[0], reps[1]
-            return
-        # Postings of every shingle: one document's overlaps with all others are one count.
-        sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
-        every = np.concatenate(sets)
-        by = np.argsort(every, kind="stable")
-        every, owner_by = every[by], owner[by]
-        first = np.searchsorted(every, np.unique(every))
-        last = np.r_[first[1:], len(every)]
-        place = np.empty(len(every), dtype=np.int64)
-        place[by] = np.repeat(np.arange(len(first)), last - first)
-        at = 0
-        for i in range(m):
-            mine = place[at : at + sizes[i]]
-            at += sizes[i]
-            shared = mine[last[mine] - first[mine] > 1]
-            counts = last[shared] - first[shared]
-            if not len(counts):
+def _linked(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links that connect what all links of ``sets`` connect, exactly.
+
+    Breadth first: a set that is reached looks for links among those that are
+    not yet, so copies of one text cost little. Postings hold open sets only;
+    they are built anew whenever half of these are gone.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    several = np.bincount(codes) > 1
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    # Shingles of one set alone can't be common to two.
+    shared = several[codes]
+    codes, owner = np.unique(codes[shared], return_inverse=True)[1].astype(np.int32), owner[shared]
+    start = np.searchsorted(owner, np.arange(m + 1))
+    width = int(codes.max()) + 1 if len(codes) else 0
+    is_open, left = np.ones(m, dtype=bool), m
+    held = first = posted = None
+
+    def post() -> None:
+        nonlocal held, first, posted
+        here = is_open[owner]
+        by = np.argsort(codes[here], kind="stable")
+        posted = owner[here][by]
+        first = np.r_[0, np.cumsum(np.bincount(codes[here], minlength=width))]
+        held = left
+
+    for seed in range(m):
+        if not is_open[seed]:
+            continue
+        is_open[seed], left, reached = False, left - 1, [seed]
+        while reached and left:
+            if held is None or 2 * left <= held:
+                post()
+            i = reached.pop()
+            mine = codes[start[i] : start[i + 1]]
+            counts = first[mine + 1] - first[mine]
+            total = int(counts.sum())
+            if not total:
                 continue
-            index = np.repeat(first[shared] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-            overlap = np.bincount(owner_by[index], minlength=m)
-            near = np.flatnonzero(100 * overlap >= LINK * (sizes + sizes[i] - overlap))
-            for j in near[near > i].tolist():
-                if forest.join(i, j):
-                    yield reps[i], reps[j]
-
-    group, reps, texts = None, [], []
-    out: list[tuple[int, int]] = []
+            index = np.repeat(first[mine] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(total)
+            overlap = np.bincount(posted[index], minlength=m)
+            near = np.flatnonzero(is_open & (100 * overlap >= LINK * (sizes + sizes[i] - overlap)))
+            is_open[near] = False
+            left -= len(near)
+            reached += near.tolist()
+            for j in near.tolist():
+                yield i, j
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of equal groups (group, rep, text), on full sets."""
+
+    def links(reps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.array([(reps[i], reps[j]) for i, j in _linked(sets)] if len(reps) > 1 else [], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"])
+
+    group, reps, sets = None, [], []
     for batch in batches:
-        for g, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for g, r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if g != group:
-                out += links(reps, texts) if len(reps) > 1 else ()
-                group, reps, texts = g, [], []
-            reps.append(r)
-            texts.append(t)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-            out = []
-    out += links(reps, texts) if len(reps) > 1 else ()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                if len(reps) > 1:
+                    yield links(reps, sets)
+                group, reps, sets = g, [], []
+            # A block may be asked for twice with one row.
+            if not reps or r != reps[-1]:
+                reps.append(r)
+                sets.append(shingles(t.as_py()))
+    if len(reps) > 1:
+        yield links(reps, sets)
+
+
+def _meet(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) within each group of ``met`` (component, rep), whose texts ``rows`` (row, text) has."""
+    # A merge join at every size: the groups grow with the input, so they are never broadcast.
+    texts = rows.select(F.col("row").alias("rep"), "text").join(met.select("component", "rep").hint("merge"), "rep")
+    placed = texts.repartition("component").sortWithinPartitions("component", "rep").select("component", "rep", "text")
+    return scratch.keep(placed.mapInArrow(_confirm, "a long, b long"), "confirmed")
+
+
+def _meet_large(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Links that connect what all links within groups too large for a task connect: ``large`` has component, rep, band, weight."""
+    one = F.lit(1)
+    # First round: each chunk with itself and the group's pivots.
+    chunks = large.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / max(1, GROUP - PIVOTS)), F.ceil(F.sum("weight") / WEIGHT), one).cast("long").alias("_k"))
+    order = Window.partitionBy("component").orderBy(F.xxhash64("rep"), "rep")
+    pivots = large.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= min(PIVOTS, GROUP // 2)).select("component", "rep")
+    dealt = large.join(chunks, "component").select("component", "rep", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("_k")).alias("_c"))
+    everywhere = pivots.join(chunks, "component").select("component", "rep", F.explode(F.expr("sequence(0L, _k - 1)")).alias("_c"))
+    first = dealt.unionByName(everywhere).distinct().select(F.xxhash64("component", "_c").alias("component"), "rep")
+    links = _meet(rows, first)
+    # Second round: what the largest group of the first one doesn't hold meets everything, also that group.
+    found = components(links).withColumnsRenamed({"node": "rep", "component": "_in"})
+    placed = scratch.keep(large.join(found, "rep", "left").withColumn("_in", F.coalesce("_in", "rep")), "placed")
+    largest = placed.groupBy("component", "_in").agg(F.count("*").alias("_n")).groupBy("component").agg(F.max_by("_in", F.struct("_n", "_in")).alias("_most"))
+    sided = placed.join(largest, "component").withColumn("side", F.when(F.col("_in") == F.col("_most"), 0).otherwise(1)).drop("_in", "_most")
+    return links.unionByName(_meet(rows, _blocks(sided, "component", GROUP)))
+
+
+def _grouped(rows: DataFrame, unknown: bool) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, first for each of ``rows`` (row, doc_id, text), whose numbers are unique.
+
+    ``first`` is true for one row of each group: that of the smallest doc_id,
+    nulls last, and of those the one with the smallest number. Rows without a
+    doc_id are in groups only if ``unknown``.
+    """
+    signed = scratch.keep(rows.select("row", "doc_id", "text").mapInArrow(_sign, SIGNED), "signed")
+    known = F.lit(True) if unknown else F.col("doc_id").isNotNull()
+    usable = signed.where(F.col("digest").isNotNull() & known)
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
+    classes = usable.groupBy("digest").agg(F.min("row").alias("rep"), lead.alias("lead"), F.max("tokens").alias("tokens"), F.max("n_shingles").alias("n_shingles"))
+    classes = scratch.keep(classes, "classes")
+    groups = components(_rounds(classes)).withColumnRenamed("node", "rep")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    groups = scratch.keep(groups.join(classes.select("rep", F.col("n_shingles").alias("weight"), band.alias("band")), "rep"), "groups")
+    sizes = groups.groupBy("component").agg(((F.count("*") > GROUP) | (F.sum("weight") > WEIGHT) & (F.count("*") > 2)).alias("_large"))
+    counted = groups.join(sizes, "component")
+    links = _meet(rows, counted.where("not _large"))
+    large = counted.where("_large").drop("_large")
+    if not large.isEmpty():
+        links = links.unionByName(_meet_large(rows, large))
+    found = components(links).withColumnRenamed("node", "rep")
+    labels = scratch.keep(classes.select("digest", "rep", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep"), "labels")
+    leads = labels.groupBy("component").agg(F.min("lead").alias("lead"))
+    labels = labels.drop("lead").join(leads, "component").select("digest", F.col("lead.doc_id").alias("component_id"), F.col("lead.row").alias("lead"))
+    some = usable.join(labels, "digest").select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("lead")).alias("first"))
+    alone = signed.where(F.col("digest").isNull() | ~known).select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return some.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
-    Documents are linked where their shingle sets are similar; component_id is
-    the smallest doc_id that a document reaches, and it is kept if it is its
-    own. Null, empty and white-space texts have no shingles and are linked with
-    nothing. Rows that share a doc_id and a set are one vertex. A row with a
-    null doc_id is linked with nothing, has a null component and is kept. An
-    empty table gives an empty result; other columns are ignored.
+    Rows are linked where their shingle sets are similar; component_id is the
+    smallest doc_id that a row reaches, and the row is kept if it is its own.
+    Null, empty and white-space texts have no shingles and are linked with
+    nothing. Rows may share a doc_id: each is linked by its own text, and
+    repeated rows are kept alike. A row with a null doc_id is linked with
+    nothing, has a null component and is kept. Texts of any length are compared
+    whole. An empty table gives an empty result; other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = scratch.keep(texts.mapInArrow(_sign, SIGNED), "signed")
-    usable = signed.where("digest is not null and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens"), F.max("n_shingles").alias("n_shingles"))
-    classes = scratch.keep(classes, "classes")
-    pairs = _rounds(classes)
-    groups = scratch.keep(components(pairs), "groups")
-    counted = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").withColumnRenamed("node", "rep")
-    met = counted.where(F.col("n") <= GROUP).select("component", "rep")
-    large = counted.where(F.col("n") > GROUP).select("component", "rep")
-    if not large.isEmpty():
-        band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND)))
-        met = met.unionByName(_blocks(classes.join(large, "rep").select("component", "rep", band.alias("band")), "component", GROUP))
-    # A merge join at every size: the groups grow with the input, so they are never broadcast.
-    wanted = texts.join(met.select(F.col("rep").alias("doc_id"), "component").hint("merge"), "doc_id")
-    texts = wanted.repartition("component").sortWithinPartitions("component", "doc_id").select("component", "doc_id", "text")
-    links = scratch.keep(texts.mapInArrow(_confirm, "a long, b long"), "confirmed")
-    found = components(links)
-    labels = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    some = usable.join(labels, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = some.unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text"), "rows")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _grouped(rows, False).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, of which one of each group of near-duplicates stays.
+
+    Of a group, the row of the smallest doc_id stays, and one only of repeated
+    rows and of rows that share it; a null doc_id comes last. Rows without
+    shingles stay. Columns of any name are carried.
+    """
+    inside, original = shield(docs, ("doc_id", "text"), ())
+    rows = scratch.keep(inside.withColumn("row", F.monotonically_increasing_id()), "rows")
+    gone = _grouped(rows.select("row", F.col("doc_id").cast("long"), "text"), True).where("not first").select("row")
+    return rows.join(gone.hint("merge"), "row", "left_anti").select(*original())

@@ -17,8 +17,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from caseframe.sources import scratch
 
-from caseframe.llm import scratch
 
 CAPACITY = 2048
 #: Cached words per worker; a full cache is emptied.

@@ -2,9 +2,11 @@
 
 DataFrame and SQL functions only. Every document gets a vector of transformed
 statistics in fixed point, so that sums are exact and reruns agree. For each
-group the minimum-covariance-determinant estimate is found from deterministic
-starts by concentration steps; documents whose Mahalanobis distance exceeds a
-chi-square cutoff are rejected.
+language and source, for each language, and for the whole table the
+minimum-covariance-determinant estimate is found from six deterministic starts
+by concentration steps. An estimate leans on that of the level above as if on
+PRIOR documents more, so small groups need no rule of their own. Documents whose
+Mahalanobis distance exceeds a chi-square cutoff are rejected.
 """
 
 from __future__ import annotations
@@ -15,24 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseframe.llm import scratch
 from caseframe.llm.columns import shield
+from caseframe.sources import scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Fixed point: a unit of a statistic.
-UNIT = 10_000
-#: Standard deviations that are added to every estimate, by statistic: differences below them mean nothing.
+#: Fixed point: a unit of a statistic. Statistics are under 20, so sums of products fit a long up to 2e10 documents; more raise an error.
+UNIT = 1000
+#: Standard deviations that are added to every estimate, by statistic (length, word length, symbols, repeated lines,
+#: repeated words). They stand for what one word, line or symbol more changes in a text of some hundred words, since
+#: statistics that are zero nearly everywhere have no spread of their own to be measured by.
 FLOORS = (0.25, 0.08, 0.35, 0.25, 0.25)
 DIMS = len(FLOORS)
 #: Share of a group's documents that the estimate is made from.
 CORE = 0.75
-STEPS = 4
-MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
-#: Groups with fewer documents share their language's pool; a smaller pool is judged by the whole language, a smaller language by the whole table.
-LEAST = 100
+#: Concentration steps of all starts, and further ones of the BEST.
+STEPS, FURTHER, BEST = 2, 2, 2
+#: The estimate of the level above counts as so many documents.
+PRIOR = 100
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "estimate_rows")
 #: Distances are put in bins this many to a factor of e; a step keeps whole bins.
 BINS = 24
-#: Documents are rejected at a distance that a normal vector exceeds with this chance.
+#: Documents are rejected at a distance that a normal vector exceeds with this chance. The statistics' tails are much
+#: heavier than normal ones; the cutoff (about 8.7 standard deviations) is meant for junk and leaves odd prose alone.
 TAIL = 1e-14
 
 
@@ -113,136 +119,195 @@ def _vector() -> list[Column]:
 
 
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+COVARIANCES = [f"c{i}{j}" for i, j in PAIRS]
 GROUP = ["_lang", "_source"]
 
 
-def _triangle(df: DataFrame) -> DataFrame:
-    """Cholesky factor l00, l10, ... of the covariance c00, c10, ... and its log determinant."""
-    for i, j in PAIRS:
-        left = F.col(f"c{i}{j}")
-        for k in range(j):
-            left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"l{j}{j}"))
-    return df.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, DIMS)), 2 * F.log(F.col("l00"))))
+#: A guess of a group: its mean, and the inverse of its covariance's Cholesky factor.
+MEANS = [f"m{i}" for i in range(DIMS)]
+FACTOR = [f"w{i}{j}" for i, j in PAIRS]
+
+
+#: A guess of a group: its mean, and the inverse of its covariance's Cholesky factor.
+MEANS = [f"m{i}" for i in range(DIMS)]
+FACTOR = [f"w{i}{j}" for i, j in PAIRS]
+
+
+def _triangle(df: DataFrame, *carry: str) -> DataFrame:
+    """GROUP, ``carry``, the mean and the inverse w00, w10, ... of the Cholesky factor of c00, c10, ..., and its log determinant."""
+    steps = []
+    for i in range(DIMS):  # each entry by the ones before it
+        for j in range(i):
+            steps.append(f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j} as l{i}{j}")
+        steps.append(f"sqrt(greatest(c{i}{i}" + "".join(f" - l{i}{k} * l{i}{k}" for k in range(i)) + f", 1e-12)) as l{i}{i}")
+        steps += [f"-(" + " + ".join(f"l{i}{k} * w{k}{j}" for k in range(j, i)) + f") / l{i}{i} as w{i}{j}" for j in range(i)]
+        steps.append(f"1 / l{i}{i} as w{i}{i}")
+    df = df.selectExpr(*GROUP, *carry, *MEANS, *steps, " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMS)) + " as logdet")
+    return df.select(*GROUP, *carry, *MEANS, *FACTOR, "logdet")
 
 
 def _distance(df: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance ``d2`` by forward substitution."""
-    for i in range(DIMS):
-        left = F.col(f"x{i}") / F.lit(float(UNIT)) - F.col(f"m{i}")
-        for k in range(i):
-            left = left - F.col(f"l{i}{k}") * F.col(f"_y{k}")
-        df = df.withColumn(f"_y{i}", left / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, DIMS)), F.col("_y0") * F.col("_y0"))
-    return df.withColumn("d2", total).drop(*[f"_y{i}" for i in range(DIMS)])
+    """``df`` with the squared Mahalanobis distance ``d2``."""
+    held = [f"`{c}`" for c in df.columns]
+    apart = [f"x{i} / {UNIT}D - m{i} as _d{i}" for i in range(DIMS)]
+    turned = [" + ".join(f"w{i}{k} * _d{k}" for k in range(i + 1)) + f" as _y{i}" for i in range(DIMS)]
+    df = df.selectExpr(*held, *apart, *turned, " + ".join(f"_y{i} * _y{i}" for i in range(DIMS)) + " as d2")
+    return df.select(*held, "d2")
 
 
 def _sums() -> list[Column]:
     """Exact sums: count, first and second moments."""
-    wide = lambda c: c.cast("decimal(20,0)")
-    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)], *[F.sum(wide(F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"q{i}{j}") for i, j in PAIRS]]
+    return [F.expr(e) for e in ("count(*) as n", *[f"sum(x{i}) as s{i}" for i in range(DIMS)], *[f"sum(x{i} * x{j}) as q{i}{j}" for i, j in PAIRS])]
 
 
 def _again() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS])]
+    return [F.expr(f"sum({c}) as {c}") for c in ("n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS])]
 
 
-def _estimate(df: DataFrame, factor: float) -> DataFrame:
-    """Mean m0.. and regularized covariance c00.. from exact sums."""
-    n = F.col("n").cast("double")
-    df = df.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n / UNIT for i in range(DIMS)})
-    cov = {}
-    for i, j in PAIRS:
-        c = F.col(f"q{i}{j}").cast("double") / n / (UNIT * UNIT) - F.col(f"m{i}") * F.col(f"m{j}")
-        cov[f"c{i}{j}"] = factor * c + (FLOORS[i] ** 2 if i == j else 0.0)
-    return _triangle(df.withColumns(cov)).drop("n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS], *cov)
+def _moments(df: DataFrame, factor: float, *carry: str) -> DataFrame:
+    """GROUP, n, ``carry``, mean m0.. and regularized covariance c00.. from exact sums."""
+    floor = lambda i, j: f" + {FLOORS[i] ** 2!r}D" if i == j else ""
+    mean = [f"double(s{i}) / n / {UNIT}D as m{i}" for i in range(DIMS)]
+    return df.selectExpr(*GROUP, "n", *carry, *mean, *[f"{factor!r}D * (double(q{i}{j}) / n / {UNIT * UNIT}D - m{i} * m{j}){floor(i, j)} as c{i}{j}" for i, j in PAIRS])
 
 
 def _bin(d2: Column) -> Column:
     return F.floor(F.log(d2 + 1e-3) * (BINS / 2)).cast("int")
 
 
-def _starts(x: DataFrame) -> DataFrame:
-    """Deterministic starts for each group: the median with the interquartile ranges, and the mean with the covariance."""
+def _levels(x: DataFrame) -> DataFrame:
+    """Every row for its own group, its language ("*" as the source) and the table; names of the others begin with "=" or are empty."""
+    level = lambda a, b: F.struct(a.alias("_lang"), b.alias("_source"))
+    every = F.array(level(F.col("_lang"), F.col("_source")), level(F.col("_lang"), F.lit("*")), level(F.lit("*"), F.lit("*")))
+    return x.select(F.explode(every).alias("_g"), *[f"x{i}" for i in range(DIMS)]).select("_g.*", *[f"x{i}" for i in range(DIMS)])
+
+
+def _middle(x: DataFrame) -> DataFrame:
+    """Median m0.. and scale r0.. (from the interquartile range, and a floor) of each group."""
     width = UNIT // 50
     long = x.select(*GROUP, F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / width) for i in range(DIMS)])).alias("dim", "bin"))
-    counts = long.groupBy(*GROUP, "dim", "bin").agg(F.count("*").alias("n"))
+    # Counts are dealt by all of their keys first, so that a large group is counted by many tasks.
+    counts = long.groupBy(*GROUP, "dim", "bin").agg(F.count("*").alias("n")).repartition(*GROUP, "dim")
     up = Window.partitionBy(*GROUP, "dim").orderBy("bin")
     counts = counts.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy(*GROUP, "dim")))
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin"))) / F.lit(UNIT / width)
     quart = counts.groupBy(*GROUP, "dim").agg(at(0.25).alias("a"), at(0.5).alias("b"), at(0.75).alias("c"))
     pick = lambda i, c: F.max(F.when(F.col("dim") == i, c))
-    wide = quart.groupBy(*GROUP).agg(
+    return quart.groupBy(*GROUP).agg(
         *[pick(i, F.col("b") + 0.5 * width / UNIT).alias(f"m{i}") for i in range(DIMS)],
-        *[pick(i, F.pow((F.col("c") - F.col("a")) / 1.349, 2) + FLOORS[i] ** 2).alias(f"c{i}{i}") for i in range(DIMS)],
+        *[pick(i, F.sqrt(F.pow((F.col("c") - F.col("a")) / 1.349, 2) + FLOORS[i] ** 2)).alias(f"r{i}") for i in range(DIMS)],
     )
-    wide = _triangle(wide.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})).drop(*[f"c{i}{j}" for i, j in PAIRS])
-    mean = _estimate(x.groupBy(*GROUP).agg(*_sums()), 1.0)
-    return wide.withColumn("start", F.lit(0)).unionByName(mean.withColumn("start", F.lit(1)))
 
 
-def _concentrate(x: DataFrame, guess: DataFrame) -> DataFrame:
-    """One concentration step: the moments of the CORE share of each group that is nearest to the guess."""
-    near = _distance(x.join(guess, GROUP)).withColumn("bin", _bin(F.col("d2")))
-    bins = near.groupBy(*GROUP, "start", "bin").agg(*_sums())
+#: Starts: 0 scales alone; 1 hyperbolic tangents, 2 signs and 3 clipped values of the scaled statistics; 4 the half nearest to the median; 5 the plain covariance.
+SCALES, TANH, SIGN, CLIP, NEAR, PLAIN = range(6)
+
+
+def _starts(x: DataFrame, middle: DataFrame) -> DataFrame:
+    """Six guesses for each group: GROUP, start, m0.., w00.., logdet."""
+    floor = lambda i, j: f" + {FLOORS[i] ** 2!r}D" if i == j else ""
+    flat = middle.select("*", *[F.expr(f"r{i} * r{i}" if i == j else "0D").alias(f"c{i}{j}") for i, j in PAIRS])
+    scales = _triangle(flat.withColumn("start", F.lit(SCALES)), "start")
+    scaled = x.join(middle, GROUP, "left").select(*GROUP, *[F.expr(f"(x{i} / {UNIT}D - m{i}) / r{i}").alias(f"z{i}") for i in range(DIMS)])
+    scaled = scaled.withColumn("_z", F.expr("sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(DIMS)) + ") + 1e-9D"))
+    bend = {TANH: "tanh(z{i})", SIGN: "z{i} / _z", CLIP: "greatest(-1.5D, least(1.5D, z{i}))"}
+    rows = [f"struct({start} as start, " + ", ".join(f"cast(round({f.format(i=i)} * {UNIT}) as bigint) as x{i}" for i in range(DIMS)) + ")" for start, f in bend.items()]
+    bent = scaled.select(*GROUP, F.expr(f"inline(array({', '.join(rows)}))")).groupBy(*GROUP, "start").agg(*_sums())
+    # Correlations of the bent values about the median, on the robust scales.
+    share = lambda i, j: f"double(q{i}{j}) / sqrt(greatest(double(q{i}{i}), 1D) * greatest(double(q{j}{j}), 1D)) * r{i} * r{j}"
+    bent = bent.join(middle, GROUP).select(*GROUP, "start", *MEANS, *[F.expr(share(i, j) + floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
+    near = _concentrate(x, scales, 0.5).withColumn("start", F.lit(NEAR))
+    plain = _triangle(_moments(x.groupBy(*GROUP).agg(*_sums()), 1.0).withColumn("start", F.lit(PLAIN)), "start")
+    return scales.unionByName(_triangle(bent, "start")).unionByName(near).unionByName(plain)
+
+
+def _concentrate(x: DataFrame, guess: DataFrame, share: float = CORE) -> DataFrame:
+    """One concentration step: the moments of the ``share`` of each group that is nearest to the guess."""
+    # An outer join, whose broadcast side can only be the guesses: every group has one.
+    near = _distance(x.join(guess, GROUP, "left")).withColumn("bin", _bin(F.col("d2")))
+    # Bins are dealt by all of their keys first, so that a large group is summed by many tasks.
+    bins = near.groupBy(*GROUP, "start", "bin").agg(*_sums()).repartition(*GROUP, "start")
     up = Window.partitionBy(*GROUP, "start").orderBy("bin")
     before = F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = F.sum("n").over(Window.partitionBy(*GROUP, "start"))
-    bins = bins.withColumn("_in", before < CORE * every).where("_in")
-    return _estimate(bins.groupBy(*GROUP, "start").agg(*_again()), _consistency(CORE))
+    bins = bins.withColumn("_in", before < share * every).where("_in")
+    return _triangle(_moments(bins.groupBy(*GROUP, "start").agg(*_again()), _consistency(share), "start"), "start")
 
 
-def estimates(x: DataFrame) -> DataFrame:
-    """For each group the reweighted minimum-covariance-determinant estimate: m0.., l00.., logdet."""
-    guess = scratch.keep(_starts(x), "starts")
+def _best(guess: DataFrame, n: int) -> DataFrame:
+    """The ``n`` guesses of each group with the smallest determinants."""
+    order = Window.partitionBy(*GROUP).orderBy("logdet", "start")
+    return guess.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def raw_estimates(x: DataFrame) -> DataFrame:
+    """For each group (_lang, _source) of ``x`` the minimum-covariance-determinant estimate: m0.., w00.., logdet."""
+    guess = scratch.keep(_starts(x, scratch.keep(_middle(x), "middle")), "starts")
     for _ in range(STEPS):
         guess = scratch.keep(_concentrate(x, guess), "step")
-    best = Window.partitionBy(*GROUP).orderBy("logdet", "start")
-    chosen = guess.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank", "start", "logdet")
-    chosen = scratch.keep(chosen, "chosen")
+    guess = _best(guess, BEST)
+    for _ in range(FURTHER):
+        guess = scratch.keep(_concentrate(x, guess), "step")
+    return _best(guess, 1).drop("start")
+
+
+def _lean(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """``own`` estimates (GROUP, n, m0.., c00..) leaning on those ``above``, which they share ``keys`` with."""
+    both = own.join(above.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*MEANS, *COVARIANCES)]), keys) if keys else own.crossJoin(above.select(*[F.col(c).alias(f"_{c}") for c in (*MEANS, *COVARIANCES)]))
+    return both.select(*GROUP, "n", *[F.expr(f"(n * {c} + {PRIOR}D * _{c}) / (n + {PRIOR}D)").alias(c) for c in (*MEANS, *COVARIANCES)])
+
+
+def estimates(x: DataFrame) -> DataFrame:
+    """For each group (_lang, _source) of ``x`` (and x0..): m0.., w00.. and estimate_rows, the documents of its own estimate.
+
+    Raw estimates are reweighted: made anew from the documents within the 97.5 %
+    quantile. A group leans on its language, a language on the table (one row).
+    """
+    x = _levels(x)
     share = 0.975
-    inside = _distance(x.join(chosen, GROUP)).where(F.col("d2") <= _chi_quantile(share, DIMS))
-    return scratch.keep(_estimate(inside.groupBy(*GROUP).agg(*_sums()), _consistency(share)), "robust")
+    inside = _distance(x.join(raw_estimates(x), GROUP, "left")).where(F.col("d2") <= _chi_quantile(share, DIMS))
+    robust = scratch.keep(_moments(inside.groupBy(*GROUP).agg(*_sums()), _consistency(share)), "robust")
+    language = _lean(robust.where("_source = '*' and _lang <> '*'"), robust.where("_lang = '*'"), [])
+    group = _lean(robust.where("_source <> '*'"), language, ["_lang"])
+    return scratch.keep(_triangle(group, "n").withColumnRenamed("n", "estimate_rows").drop("logdet"), "leaning")
+
+
+def _judged(inside: DataFrame, held: list[str], tail: float) -> DataFrame:
+    """The columns ``held`` of ``inside`` (text, lang, source and others that clash with nothing), with MADE."""
+    base = with_statistics(inside).withColumn("base_failed", base_failed())
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    rows = scratch.keep(base.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
+    x = rows.where("not base_failed").select("_lang", F.col("_own").alias("_source"), *[f"x{i}" for i in range(DIMS)])
+    found = estimates(x).withColumnRenamed("_source", "_own")
+    out = _distance(rows.join(found, ["_lang", "_own"], "left"))
+    within = F.col("d2") <= _chi_quantile(1 - tail, DIMS)
+    return out.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], (~F.col("base_failed") & within).alias("kept"), "d2", "estimate_rows")
 
 
 def judge(docs: DataFrame, tail: float = TAIL, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 and estimate_rows.
 
     ``docs`` needs text, lang and source; the columns in ``carry``, or else
-    all, are in the result, with d2. Documents that fail the base rule are rejected and
-    left out of the estimates. A null text has no words and fails; null
-    languages and sources form groups of their own; groups under LEAST
-    documents are judged by their language's pool of such groups, a pool under
-    LEAST by its whole language, and a language under LEAST by the whole table,
-    so that every document that passes the base rule is judged. Repeated
-    rows count each; an empty table gives an empty result. Own columns of these
-    names are replaced.
+    all, are in the result. Documents that fail the base rule are rejected and
+    left out of the estimates; d2 is the squared distance of the others from
+    their group, and estimate_rows the documents that the group's own estimate
+    was made from. A null text has no words and fails; null languages and
+    sources form groups of their own; a small group leans on its language, and
+    a small language on the table, so every document that passes the base rule
+    is judged. Documents at one distance are all within a core or all without.
+    Texts of any length are read whole. Repeated rows count each; an empty table
+    gives an empty result. Own columns of these names are replaced.
     """
     wanted = docs if carry is None else docs.select(*dict.fromkeys((*carry, "text", "lang", "source")))
     inside, original = shield(wanted, ("text", "lang", "source"), MADE)
-    base = with_statistics(inside).withColumn("base_failed", base_failed())
     # Texts move on only where they are asked for.
     held = [c for c in inside.columns if c != "text" or carry is None or "text" in carry]
     names = [c for c in wanted.columns if c.lower() not in MADE]
-    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    rows = scratch.keep(base.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
-    sizes = rows.where("not base_failed").groupBy("_lang", "_own").agg(F.count("*").alias("_n"))
-    pool = F.sum(F.when(F.col("_n") < LEAST, F.col("_n"))).over(Window.partitionBy("_lang"))
-    # "?" names a language's pool and "*" a whole language or the table; names of sources begin with "=" or are empty.
-    every = F.sum("_n").over(Window.partitionBy("_lang"))
-    sizes = sizes.withColumn("_source", F.when(F.col("_n") >= LEAST, F.col("_own")).when(pool >= LEAST, F.lit("?")).otherwise("*"))
-    sizes = sizes.withColumn("_by", F.when((F.col("_source") == "*") & (every < LEAST), F.lit("*")).otherwise(F.col("_lang"))).drop("_n")
-    sizes = scratch.keep(sizes, "groups")
-    # Every group gives its rows to its own estimate, and to its language's and the table's where those are asked for.
-    whole = sizes.where("_source = '*'").select("_by").distinct()
-    own = sizes.where("_source <> '*'").select("_lang", "_own", "_by", "_source")
-    language = sizes.select("_lang", "_own").join(whole.where("_by <> '*'"), F.col("_lang") == F.col("_by")).select("_lang", "_own", "_by", F.lit("*").alias("_source"))
-    table = sizes.select("_lang", "_own").crossJoin(whole.where("_by = '*'")).select("_lang", "_own", "_by", F.lit("*").alias("_source"))
-    given = scratch.keep(own.unionByName(language).unionByName(table), "given")
-    columns = [f"x{i}" for i in range(DIMS)]
-    x = rows.where("not base_failed").select("_lang", "_own", *columns).join(given, ["_lang", "_own"]).select(F.col("_by").alias("_lang"), "_source", *columns)
-    found = sizes.join(estimates(x).withColumnRenamed("_lang", "_by"), ["_by", "_source"]).drop("_by", "_source", "logdet")
-    out = _distance(rows.join(found, ["_lang", "_own"], "left"))
-    within = F.col("d2") <= _chi_quantile(1 - tail, DIMS)
     back = [c for c, name in zip(original(), names, strict=True) if carry is None or name in carry]
-    return out.select(*back, *MADE[:6], (~F.col("base_failed") & within).alias("kept"), "d2")
+    return _judged(inside, held, tail).select(*back, *MADE)
+
+
+def keep(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows of ``docs``, as they are, that ``judge`` keeps. Columns of any name are carried."""
+    inside, original = shield(docs, ("text", "lang", "source"), ())
+    return _judged(inside, inside.columns, tail).where("kept").select(*original())

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseframe.llm import scratch
 from caseframe.llm.columns import shield
 from caseframe.llm.prefix import bits_for, bucket_of, hash_key, offsets
+from caseframe.sources import scratch
 
 TRIES = 64
 MADE = ("law", "shard", "slot")
