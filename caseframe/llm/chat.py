@@ -1,7 +1,8 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens choose turn-aligned spans: a window takes as many
-turns as its budget holds. Every window repeats the conversation's first system
+Turn tokens are counted where the turns lie and prefix-summed for each
+conversation; differences of the sums choose turn-aligned spans: a window takes
+as many turns as its budget holds. Every window repeats the conversation's first system
 turns and a limited history before its new turns. Assistant texts are under the
 loss mask where they are new, and masked where they are repeated.
 """
@@ -10,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The template. Any role has its own mark; texts can't hold a control string once they are escaped.
 OPEN, CLOSE = {"user": "<s>[INST] ", "assistant": "<s>[/INST] ", "system": "<s><<SYS>> "}, " </s>"
@@ -62,54 +65,64 @@ def words_and_marks(text: str) -> int:
 
 
 WINDOWS = "conv_id long, window int, text string, spans array<struct<start:int,end:int>>, new_turns int, first_new int, tokens long, over_budget boolean"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+KINDS = [pa.int64(), pa.int32(), pa.string(), SPANS, pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
 
 class _Conversation:
-    """Windows of one conversation, from its turns in order; holds the turns of one window and its history."""
-
-    def __init__(self, conv: int | None, budget: int, history: int, count: Callable[[str], int]) -> None:
-        self.conv, self.budget, self.history, self.count = conv, budget, history, count
-        self.system: list[tuple[str, int]] = []  # formatted leading system turns and their tokens
-        self.past: list[tuple[str, int]] = []  # formatted turns that may be repeated
-        self.new: list[tuple[str, int, int, int]] = []  # formatted turn, tokens, target start and end
-        self.window, self.total, self.leading = 0, 0, True
-        self.leads = 0  # leading system turns among the new ones
-
-    def add(self, role: str, text: str) -> Iterator[tuple]:
+    """Windows of one conversation, from its turns in order and their prefix sums; holds the turns of one window and its history."""
+
+    def __init__(self, conv: int | None, budget: int, history: int) -> None:
+        self.conv, self.budget, self.history = conv, budget, history
+        self.system: list[str] = []  # formatted leading system turns
+        self.past: list[str] = []  # formatted turns that may be repeated
+        self.past_at: list[int] = []  # tokens of the conversation before each of them
+        self.new: list[tuple[str, int, int]] = []  # formatted turn, target start and end
+        self.new_at: list[int] = []
+        self.window, self.upto, self.fixed, self.leading, self.leads = 0, 0, 0, True, 0
+
+    def held(self, upto: int) -> int:
+        """Tokens of a window that ends where the prefix sum is ``upto``."""
+        return self.fixed + upto - (self.past_at or self.new_at or [self.upto])[0]
+
+    def add(self, role: str, text: str, upto: int) -> Iterator[tuple]:
         body, opening = escape(text), mark(role)
-        formatted = opening + body + CLOSE
-        tokens = self.count(formatted)
         self.leading = self.leading and role == "system"
-        # The history shrinks to what the window's first turn leaves; a further turn that doesn't fit opens the next window.
-        fixed = sum(n for _, n in self.system)
-        if self.new and fixed + sum(n for _, n in self.past) + sum(x[1] for x in self.new) + tokens > self.budget:
+        # A further turn that doesn't fit opens the next window; the history shrinks to what the window's first turn leaves.
+        if self.new and self.held(upto) > self.budget:
             yield self.close()
-        if not self.new:
-            fixed = sum(n for _, n in self.system)
-            while self.past and fixed + sum(n for _, n in self.past) + tokens > self.budget:
-                self.past.pop(0)
+        if not self.new and self.held(upto) > self.budget:
+            self.forget(upto + self.fixed - self.budget)
         target = (len(opening), len(opening) + len(body)) if role == "assistant" else (0, 0)
-        self.new.append((formatted, tokens, *target))
+        self.new.append((opening + body + CLOSE, *target))
+        self.new_at.append(self.upto)
+        self.upto = upto
         self.leads += self.leading
 
+    def forget(self, least: int) -> None:
+        """Drop history that begins before the prefix sum is ``least``."""
+        at = bisect_left(self.past_at, least)
+        del self.past[:at], self.past_at[:at]
+
     def close(self) -> tuple:
-        parts = [t for t, _ in self.system] + [t for t, _ in self.past]
+        parts = self.system + self.past
         at, spans = sum(map(len, parts)), []
-        for formatted, _, start, end in self.new:
+        for formatted, start, end in self.new:
             if end > start:
                 spans.append({"start": at + start, "end": at + end})
             parts.append(formatted)
             at += len(formatted)
-        tokens = sum(n for _, n in self.system) + sum(n for _, n in self.past) + sum(x[1] for x in self.new)
+        tokens = self.held(self.upto)
         row = (self.conv, self.window, "".join(parts), spans, len(self.new), len(parts) - len(self.new), tokens, tokens > self.budget)
         # What follows repeats all leading system turns, whatever their length, and the latest turns that the history holds.
-        rest = [(t, n) for t, n, *_ in self.new]
-        self.system += rest[: self.leads]
-        self.past += rest[self.leads :]
-        self.leads = 0
-        while self.past and sum(n for _, n in self.past) > self.history:
-            self.past.pop(0)
-        self.window, self.new = self.window + 1, []
+        turns = [x[0] for x in self.new]
+        if self.leads:
+            self.system += turns[: self.leads]
+            self.fixed = self.new_at[self.leads] if self.leads < len(turns) else self.upto
+        self.past += turns[self.leads :]
+        self.past_at += self.new_at[self.leads :]
+        self.forget(self.upto - self.history)
+        self.window, self.new, self.new_at, self.leads = self.window + 1, [], [], 0
         return row
 
 
@@ -121,54 +134,70 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     with a null conv_id are one conversation; repeated rows are turns of their
     own. A turn that is over the budget, alone or with the leading system turns
     that every window repeats, gets a window of its own, whole, and over_budget
-    says so. Rows are streamed in order, so a conversation of any
-    length needs no more memory than a window. An empty table gives an empty
-    result; other columns are ignored.
+    says so. Rows are streamed in order, so a conversation of any length needs
+    no more memory than a window. An empty table gives an empty result; other
+    columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [x.split(" ")[0] for x in WINDOWS.replace("array<struct<start:int,end:int>>", "a").split(", ")]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            tokens = [count(mark(r) + escape(t) + CLOSE) for r, t in zip(roles, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], [*batch.schema.names, "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(KINDS)]
+            return pa.RecordBatch.from_arrays(columns, ["conv_id", "window", "text", "spans", "new_turns", "first_new", "tokens", "over_budget"])
+
         current: _Conversation | None = None
         for batch in batches:
             rows: list[tuple] = []
-            for conv, known, role, text in zip(batch["conv_id"], batch["known"], batch["role"], batch["text"], strict=True):
-                conv = int(conv) if known else None
+            for conv, known, role, text, upto in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                conv = conv if known else None
                 if current is None or current.conv != conv:
-                    if current is not None and current.new:
+                    if current is not None:
                         rows.append(current.close())
-                    current = _Conversation(conv, budget, history, count)
-                rows += current.add(role, text)
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
-        if current is not None and current.new:
-            yield pd.DataFrame([current.close()], columns=columns).astype({"conv_id": "Int64"})
+                    current = _Conversation(conv, budget, history)
+                rows += current.add(role, text, upto)
+            yield made(rows)
+        if current is not None:
+            yield made([current.close()])
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("conv_id").isNotNull().alias("known"), "turn", empty("role"), empty("text"))
-    placed = rows.repartition("conv_id", "known").sortWithinPartitions("known", "conv_id", F.asc_nulls_first("turn"), "role", "text")
-    return placed.drop("turn").mapInPandas(run, WINDOWS)
+    kind = rows.schema["turn"].dataType.simpleString()
+    rows = rows.mapInArrow(counted, f"conv_id long, known boolean, turn {kind}, role string, text string, tokens long")
+    # One exchange: the prefix sum's order by conversation is the one that the windows are cut in.
+    order = Window.partitionBy("known", "conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("upto", F.sum("tokens").over(order))
+    return summed.select("conv_id", "known", "role", "text", "upto").mapInArrow(run, WINDOWS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What the windows of each conversation say, read from their texts and spans alone.
+    """What the windows of each conversation say, read from their texts and spans alone, in order of their numbers.
 
-    ``formatted`` comes from ``windows`` as it is: windows of a conversation
-    follow each other within a partition.
+    ``formatted`` has the columns of ``windows``, in any order of rows; windows
+    with a null conv_id are one conversation; a repeated window is read twice;
+    other columns are ignored; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None
 
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in rows], pa.string() if i in (2, 4) else pa.int64()) for i in range(7)]
+            return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in DIGESTS.split(", ")])
+
         def row() -> tuple:
             return (conv, state["n"], state["turns"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["all"], state["windows"])
 
-        columns = [x.split(" ")[0] for x in DIGESTS.split(", ")]
         for batch in batches:
             rows = []
-            for c, text, spans, new, first in zip(batch["conv_id"], batch["text"], batch["spans"], batch["new_turns"], batch["first_new"], strict=True):
-                c = None if pd.isna(c) else int(c)
+            for c, text, spans, new, first in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if state is None or c != conv:
                     if state is not None:
                         rows.append(row())
@@ -183,8 +212,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state["chars"] += len(target)
                 state["all"] += len(text)
                 state["windows"] += 1
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+            yield made(rows)
         if state is not None:
-            yield pd.DataFrame([row()], columns=columns).astype({"conv_id": "Int64"})
+            yield made([row()])
 
-    return formatted.mapInPandas(run, DIGESTS)
+    placed = formatted.select("conv_id", "text", "spans", "new_turns", "first_new", "window").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return placed.drop("window").mapInArrow(run, DIGESTS)

@@ -1,7 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-Every paragraph piece of a text is hashed to three cells, which add up counts,
-digests and check digests. Two sketches subtract cell by cell; peeling cells
+Paragraphs are cut to pieces by what they say, never by position: after a
+sentence, and after words with certain ends, so that an edit changes only the
+pieces that it touches. Every piece is hashed to three cells, which add up
+counts, digests and check digests. Two sketches subtract cell by cell; peeling cells
 that hold one digest recovers the pieces in which the versions differ. Where
 that fails, both are sketched again with more cells.
 """
@@ -10,9 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 #: Cells of the fingerprint itself in each of its three parts, and the growth of a retry.
 PART, GROWTH = 8, 8
 PARTS = 3
-#: Paragraphs are lines; a line is cut after each sentence, and a longer stretch after so many characters.
-PIECE = re.compile(r"[^\n.!?]{1,32}[.!?]*|[.!?]+")
+#: Of the pairs of bytes that end a word, about one in so many ends a piece.
+ENDS_ONE_IN = 6
 #: Cells that one vectorized attempt may hold.
 CELLS = 1 << 21
-#: One key in so many starts a range of documents; more rows make longer ranges, never more than RANGES.
+#: One key in so many starts a range of documents; more rows make longer ranges, about RANGES at most, so that their starts (2 MB) can go to every task.
 RANGE_ROWS, RANGES = 128, 262_144
 LOWEST = -(2**63)
 
@@ -41,9 +43,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
+_SPACE, _LINE, _MARKS = 32, 10, np.isin(np.arange(256), np.frombuffer(b".!?", dtype=np.uint8))
+_ENDS = (_mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) % np.uint64(ENDS_ONE_IN)) == 0
+
+
+def pieces(text: str) -> list[bytes]:
+    """The pieces of a text in order; together they are the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    b = np.frombuffer(raw, dtype=np.uint8)
+    if not len(b):
+        return []
+    # A piece ends at a line feed, at the last of some sentence marks, and at a space after certain two bytes.
+    mark = _MARKS[b]
+    end = (b == _LINE) | mark & ~np.r_[mark[1:], False]
+    pair = np.zeros(len(b), dtype=np.int64)
+    pair[2:] = b[:-2].astype(np.int64) << 8 | b[1:-1]
+    end |= (b == _SPACE) & _ENDS[pair]
+    end[-1] = True
+    cuts = [0, *(np.flatnonzero(end) + 1).tolist()]
+    return [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def digests(text: str) -> np.ndarray:
     """64-bit digests of a text's pieces; the n-th repetition of a piece is a piece of its own."""
-    raw = [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in PIECE.findall(text)]
+    raw = list(map(xxhash.xxh3_64_intdigest, pieces(text)))
     keys = np.array(raw, dtype=np.uint64)
     if len(set(raw)) != len(raw):
         seen: Counter[int] = Counter()
@@ -127,9 +150,17 @@ def fingerprints(sets: list[np.ndarray]) -> list[str]:
     return [base64.b64encode(row.tobytes()).decode("ascii") for row in packed]
 
 
-def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """For each pair of sets: (digests only left, digests only right), recovered by peeling the subtracted sketches."""
-    out = np.zeros((len(left), 2), dtype=np.int64)
+class Difference(NamedTuple):
+    """Digests that only the one or the other text has, and the cells of the sketch that they were recovered from."""
+
+    left: np.ndarray
+    right: np.ndarray
+    cells: int
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray]) -> list[Difference]:
+    """The differing digests of each pair of sets, recovered by peeling the subtracted sketches; where that fails, larger ones are tried."""
+    out: list[Difference | None] = [None] * len(left)
     todo, part = np.arange(len(left)), PART
     while len(todo):
         again: list[np.ndarray] = []
@@ -145,21 +176,25 @@ def differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             cells = Cells(len(rows), part)
             cells.add(*_gather([left[i] for i in rows]))
             cells.add(*_gather([right[i] for i in rows]), -1)
-            owner, _, sign = cells.peel()
+            owner, key, sign = cells.peel()
             failed = cells.failed(len(rows))
-            only = np.stack([np.bincount(owner[sign == s], minlength=len(rows)) for s in (1, -1)], axis=1)
-            out[rows[~failed]] = only[~failed]
+            by = np.lexsort((key, -sign, owner))
+            owner, key, sign = owner[by], key[by], sign[by]
+            first = np.searchsorted(owner, np.arange(len(rows) + 1))
+            for k in np.flatnonzero(~failed).tolist():
+                mine = slice(first[k], first[k + 1])
+                split = int((sign[mine] > 0).sum())
+                out[rows[k]] = Difference(key[mine][:split], key[mine][split:], PARTS * part)
             again.append(rows[failed])
         todo, part = np.sort(np.concatenate(again)), part * GROWTH
     return out
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+def likeness(left: list[np.ndarray], found: list[Difference]) -> np.ndarray:
     """Common pieces as a share of all pieces, from the recovered differences; 1 where neither has any."""
-    only = differences(left, right)
     sizes = np.array([len(s) for s in left], dtype=np.int64)
-    every = sizes + only[:, 1]
-    return np.where(every > 0, (sizes - only[:, 0]) / np.maximum(every, 1), 1.0)
+    every = sizes + np.array([len(d.right) for d in found], dtype=np.int64)
+    return np.where(every > 0, (sizes - np.array([len(d.left) for d in found], dtype=np.int64)) / np.maximum(every, 1), 1.0)
 
 
 def edit(text: str, other: str) -> str:
@@ -168,21 +203,32 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_n_chars long"
+RESULT = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_n_chars long, "
+    "n_pieces long, only_text array<long>, only_edited array<long>, cells_edited long, n_next_differing long, cells_next long"
+)
 
 
 def _batch(ids: list[int], texts: list[str], following: list[str], sets: list[np.ndarray], following_sets: list[np.ndarray]) -> pa.RecordBatch:
     edited = [edit(a, b) for a, b in zip(texts, following, strict=True)]
     edited_sets = [digests(t) for t in edited]
+    to_edited, to_next = differences(sets, edited_sets), differences(sets, following_sets)
+    longs = lambda values: pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64()))
     columns = [
         pa.array([None if i == LOWEST else i for i in ids], pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
         pa.array(fingerprints(sets), pa.string()),
         pa.array(fingerprints(edited_sets), pa.string()),
-        pa.array(likeness(sets, edited_sets)),
-        pa.array(likeness(sets, following_sets)),
+        pa.array(likeness(sets, to_edited)),
+        pa.array(likeness(sets, to_next)),
         pa.array([len(t) for t in edited], pa.int64()),
+        pa.array([len(s) for s in sets], pa.int64()),
+        longs([d.left for d in to_edited]),
+        longs([d.right for d in to_edited]),
+        pa.array([d.cells for d in to_edited], pa.int64()),
+        pa.array([len(d.left) + len(d.right) for d in to_next], pa.int64()),
+        pa.array([d.cells for d in to_next], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in RESULT.split(", ")])
 
@@ -208,7 +254,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """The fingerprint of each row's text and of its edited text, and their likeness.
+    """The fingerprint of each row's text and of its edited text, their likeness, and what differs.
+
+    only_text and only_edited are the recovered digests of pieces that only the
+    one or the other version has, cells_edited the cells of the sketch that
+    they were peeled from; n_next_differing and cells_next are the same of the
+    next document.
 
     The edited text takes its second half from the next document in descending
     doc_id; the last one takes it from the first. ``docs`` needs doc_id and
@@ -223,8 +274,8 @@ def versions(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "text")
     total, top = rows.agg(F.count("*"), F.max("key")).first()
-    every = max(RANGE_ROWS, total // RANGES)
-    starts = rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").distinct().limit(4 * RANGES).collect()
+    every = max(RANGE_ROWS, -(-total // RANGES))
+    starts = rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").distinct().collect()
     # Descending; the highest key starts the first range.
     bounds = np.array(sorted({r[0] for r in starts} | ({top} if top is not None else set())), dtype=np.int64)
 

@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors; an
-element's points are discounted by its share of link text. The best container
-and those of its siblings that carry text of the same kind are kept.
+Paragraphs pass points for their length and commas to all of their ancestors,
+discounted by link density; each level passes on half. The best container is
+kept, with those of its siblings, and of its ancestors' siblings, that carry
+text of the same kind.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose text is never shown, or never part of an article.
@@ -19,12 +20,12 @@ DROPPED = frozenset("script style noscript template iframe object embed svg math
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th "
-    "figure figcaption address header footer nav aside form fieldset hr details summary center hgroup".split()
+    "figure figcaption address header footer nav aside form fieldset hr details summary center hgroup head title dialog menu".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Paragraph-like elements hand their points to the element around them.
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th figcaption caption address".split()) | HEADINGS
-#: Words of class, id and role that name what isn't the article.
+#: Words of class, id and role that name what isn't the article. They cost an element its place unless the page has next to nothing else.
 BOILERPLATE = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer "
     "gdpr header login masthead menu menubar modal nav navbar navigation navigator newsletter notice notices notification overlay pager pagination popup promo "
@@ -37,16 +38,23 @@ BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 #: An open paragraph is not closed from within these.
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "object", "html", "template"))
 WEIGHTS = {"article": 15.0, "main": 10.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0}
-#: Points reach so many elements around a paragraph's parent.
-REACH = 5
+#: What an element passes on of its children's points.
+SHARE = 0.5
+#: A container beside the best one, or beside one of its ancestors, is kept from this share of the best one's value.
+NEAR, FAR = 0.2, 0.4
+#: A paragraph of a listed word needs so many points to stay; a container stays if the rest of the page has less than this share of all.
+PLENTY, REST = 2.0, 0.05
+#: Containers beside the best one need so many points in any case.
+LITTLE = 3.0
 
 
 class _Node:
-    __slots__ = ("parent", "index", "tag", "dropped", "score", "chars", "links", "anchors")
+    __slots__ = ("parent", "index", "tag", "dropped", "listed", "points", "score", "chars", "links", "anchors", "prose")
 
-    def __init__(self, parent: _Node | None, index: int, tag: str, dropped: bool) -> None:
-        self.parent, self.index, self.tag, self.dropped = parent, index, tag, dropped
-        self.score, self.chars, self.links, self.anchors = 0.0, 0, 0, 0
+    def __init__(self, parent: _Node | None, index: int, tag: str, dropped: bool, listed: bool = False) -> None:
+        self.parent, self.index, self.tag, self.dropped, self.listed = parent, index, tag, dropped, listed
+        self.points = self.score = 0.0  # of all text within; with each level's share
+        self.chars = self.links = self.anchors = self.prose = 0
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -70,13 +78,13 @@ class _Page(HTMLParser):
             text = " ".join("".join(self.run).split())
             self.run = []
             if text:
+                # Dropped elements add no text, so what waits belongs to the block around them.
                 owner = self.stack[-1]
-                while owner.parent is not None and owner.tag not in BLOCKS:
+                while owner.parent is not None and (owner.dropped or owner.tag not in BLOCKS):
                     owner = owner.parent
-                if not self.stack[-1].dropped:
-                    owner.chars += len(text)
-                    owner.links += min(self.linked, len(text))
-                    self.blocks.append((owner, text))
+                owner.chars += len(text)
+                owner.links += min(self.linked, len(text))
+                self.blocks.append((owner, text))
         self.linked = 0
 
     def pop_to(self, at: int) -> None:
@@ -91,21 +99,20 @@ class _Page(HTMLParser):
                 self.run.append(" ")
             return
         top = self.stack[-1]
-        dropped = top.dropped or tag in DROPPED
-        if not dropped and attrs and tag not in ("html", "body", "article", "main"):
+        dropped, listed = top.dropped or tag in DROPPED, False
+        if not dropped and attrs and tag not in ("html", "body", "main"):
             for name, value in attrs:
                 if value and name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
-                    dropped = True
+                    listed = True
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     dropped = True
-        if not dropped and tag == "article" and any(value and name in ("class", "id") and not {"comment", "comments", "reply"}.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())) for name, value in attrs):
-            dropped = True
         if not dropped and tag == "header" and not any(n.tag == "article" for n in self.stack):
             dropped = True
-        boundary = tag in BLOCKS or dropped and not top.dropped
-        if boundary:
+        if listed and tag not in BLOCKS:  # a part of a line has no score of its own
+            dropped = True
+        if tag in BLOCKS:
             self.flush()
-            if tag in BLOCKS and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "html", "body"):
+            if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "html", "body"):
                 self.close_open(("p",), SCOPE)
         if tag in CLOSES:
             self.close_open(CLOSES[tag], BOUNDS[tag])
@@ -114,7 +121,7 @@ class _Page(HTMLParser):
         if tag in VOID:
             return
         parent = self.stack[-1]
-        node = _Node(parent, len(self.nodes), tag, dropped or parent.dropped)
+        node = _Node(parent, len(self.nodes), tag, dropped or parent.dropped, listed)
         self.nodes.append(node)
         self.stack.append(node)
         if tag == "a":
@@ -140,7 +147,7 @@ class _Page(HTMLParser):
         for at in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[at].tag
             if open_tag == tag:
-                if tag in BLOCKS or self.stack[at].dropped and not self.stack[at - 1].dropped:
+                if tag in BLOCKS:
                     self.flush()
                 self.pop_to(at)
                 return
@@ -159,6 +166,18 @@ def _points(text: str, tag: str) -> float:
     return 0.2 if tag in HEADINGS else 1.0 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
 
 
+def _left_out(nodes: list[_Node], listed: bool) -> list[bool]:
+    """Elements that carry no article: dropped ones, and listed ones that others can do without, with all within them."""
+    every = nodes[0].points
+    out = [False] * len(nodes)
+    for n in nodes:
+        out[n.index] = n.dropped or n.parent is not None and out[n.parent.index]
+        if listed and n.listed and not out[n.index]:
+            rest = every - n.points
+            out[n.index] = n.points < PLENTY if n.tag in PARAGRAPHS else rest >= REST * every
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by a line feed; empty if there is none."""
     if not page:
@@ -168,42 +187,46 @@ def main_text(page: str | None) -> str:
     parser.close()
     parser.flush()
     nodes, blocks = parser.nodes, parser.blocks
-    if not blocks:
-        return ""
     for owner, text in blocks:
-        points = _points(text, owner.tag) * (1 - owner.density())
-        node = owner.parent if owner.tag in PARAGRAPHS and owner.parent else owner
-        for level in range(REACH + 1):
-            if node is None:
-                break
-            if node.score == 0.0:
-                node.score = WEIGHTS.get(node.tag, 0.0) + 1e-9
-            node.score += points / (1, 2, 6, 9, 12, 15)[level]
-            node = node.parent
-    for node in reversed(nodes):  # text and links count for all elements around them
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.links += node.links
-            node.parent.anchors += node.anchors
-    value = lambda n: n.score * (1 - n.density()) if n.score else float("-inf")
-    best = max((n for n in nodes if n.score and n.parent is not None), key=value, default=nodes[0])
-    home = best
-    while home is not None and home.tag != "article":
-        home = home.parent
-    accepted = {(home or best).index}
-    if home is None and best.parent is not None:
-        limit = max(3.0, 0.2 * value(best))
-        for n in nodes:
-            if n.parent is best.parent and not n.dropped and n.chars:
-                if n.tag in PARAGRAPHS:
-                    if n.tag in HEADINGS or n.density() < 0.25:
-                        accepted.add(n.index)
-                elif n.score and value(n) >= limit:
+        owner.points += _points(text, owner.tag) * (1 - owner.density())
+        owner.prose += owner.tag not in HEADINGS
+    direct = [n.points for n in nodes]
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.points += n.points
+    out = _left_out(nodes, True)
+    for n in nodes:  # a paragraph's points are its parent's
+        if direct[n.index] and not out[n.index]:
+            home = n.parent if n.tag in PARAGRAPHS and n.parent else n
+            home.score += direct[n.index]
+    for n in reversed(nodes):  # text and links count for all elements around them
+        if n.parent is not None and not out[n.index]:
+            n.parent.score += SHARE * n.score
+            n.parent.chars += n.chars
+            n.parent.links += n.links
+            n.parent.anchors += n.anchors
+            n.parent.prose += n.prose
+    value = lambda n: (n.score + WEIGHTS.get(n.tag, 0.0)) * (1 - n.density()) if n.score else float("-inf")
+    best = max((n for n in nodes if n.score and n.parent is not None and not out[n.index]), key=value, default=nodes[0])
+    if not best.chars:
+        return ""
+    children: dict[int, list[_Node]] = {}
+    for n in nodes:
+        if n.parent is not None and n.chars and not out[n.index]:
+            children.setdefault(n.parent.index, []).append(n)
+    accepted, at, share = {best.index}, best, NEAR
+    while at.parent is not None:
+        for n in children[at.parent.index]:
+            if n.tag in PARAGRAPHS or not n.prose:
+                if share == NEAR and (n.tag in HEADINGS or n.density() < 0.25):
                     accepted.add(n.index)
+            elif n is not at and n.score and value(n) >= max(LITTLE, share * value(best)):
+                accepted.add(n.index)
+        at, share = at.parent, FAR
     inside, menu = [False] * len(nodes), [False] * len(nodes)
     for n in nodes:
         up = n.parent.index if n.parent else None
-        inside[n.index] = n.index in accepted or up is not None and inside[up]
+        inside[n.index] = not out[n.index] and (n.index in accepted or up is not None and inside[up])
         # A list or box of links alone is a menu.
         menu[n.index] = up is not None and menu[up] or n.tag in ("ul", "ol", "div", "section", "table") and n.index not in accepted and n.anchors >= 3 and n.density() >= 0.8
     return "\n".join(text for owner, text in blocks if inside[owner.index] and not menu[owner.index])
@@ -215,15 +238,17 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty page, one without markup's text, and one that is all
     boilerplate have an empty text; text without any element is one block.
     Elements that stay open, stray end tags and cut pages are read as browsers
-    do, near enough. Repeated rows are extracted each; nulls in other columns
-    stay; other columns are ignored; an empty table gives an empty result.
+    do, near enough. Of containers with one value the first counts. Pages of any
+    length are read whole. Repeated rows are extracted each; nulls in other
+    columns stay; other columns are ignored; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.pop("html").map(main_text, na_action=None).astype(object)
-            yield batch.assign(text=text, n_chars=text.map(len))
+            texts = [main_text(p) for p in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select("page_id", "url", "html")
     kind = dict(rows.dtypes)
-    return rows.mapInPandas(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
+    return rows.mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

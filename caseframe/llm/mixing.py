@@ -62,11 +62,13 @@ def mix(
     seed: str = "mix",
     size: Column | None = None,
     rows_per_bucket: int = 128,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``docs`` with size, source_size, target and taken (units of the document that the mix takes).
 
-    ``docs`` needs doc_id, text and source; further columns stay. Reruns give
-    the same rows. A null source is a source of its own and comes last; a null
+    ``docs`` needs doc_id, text and source; the columns in ``carry``, or else
+    all, stay. Without the text among them texts are read once. Reruns give the
+    same rows. Texts of any length are counted whole. A null source is a source of its own and comes last; a null
     or empty text has size 0 and nothing is taken of it; a null doc_id is keyed
     by its text; repeated rows are rows of their own; an empty table gives an
     empty result. A source of size 0 has target 0. Own columns named size,
@@ -75,7 +77,10 @@ def mix(
     size = word_count(F.col("text")) if size is None else size
     bits = bits_for(docs.count(), rows_per_bucket)
     key = hash_key(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), seed=seed)
-    inside, original = shield(docs, ("doc_id", "text", "source"), MADE)
+    wanted = docs if carry is None else docs.select(*dict.fromkeys((*carry, "doc_id", "text", "source")))
+    inside, original = shield(wanted, ("doc_id", "text", "source"), MADE)
+    names = [c for c in wanted.columns if c.lower() not in MADE]
+    back = [c for c, name in zip(original(), names, strict=True) if carry is None or name in carry]
     rows = inside.select(
         "*",
         size.alias("size"),
@@ -85,6 +90,8 @@ def mix(
         F.xxhash64("text").alias("_tie"),
     )
     rows = rows.withColumn("_bucket", bucket_of(F.col("_key"), bits))
+    if carry is not None and "text" not in carry:
+        rows = scratch.keep(rows.drop("text"), "sizes")
     by = ["_known", "_source"]
     stats = scratch.keep(rows.groupBy(*by, "_bucket").agg(F.sum("size").alias("_size")), "mix")
     sizes = stats.groupBy(*by).agg(F.sum("_size").alias("source_size"))
@@ -95,14 +102,16 @@ def mix(
     budget = F.round("target").cast("long")
     rest = budget % F.greatest("source_size", F.lit(1))
     taken = F.col("size") * F.floor(budget / F.greatest("source_size", F.lit(1))) + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).select(*original(), *MADE)
+    return rows.withColumn("taken", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long")).select(*back, *MADE)
 
 
 def repeated(mixed: DataFrame, words_column: str = "text") -> DataFrame:
     """The mix as documents: a row for each epoch of a document, its last one cut to the words still taken.
 
-    A document taken whole twice is there twice; one of which nothing is taken
-    is gone. A cut text keeps its first words and the white space between them.
+    A document taken whole twice is there twice; one of which nothing is taken,
+    as of a null or empty text, is gone. A cut text keeps its first words and
+    the white space between them. Repeated rows are repeated each; other columns
+    stay; an empty table gives an empty result.
     """
     whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     rest = (F.col("taken") - whole * F.col("size")).cast("int")

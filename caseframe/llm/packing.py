@@ -4,7 +4,8 @@ Documents are tokenized and cut into pieces of at most ``capacity`` tokens.
 Hash partitions pack their pieces by best-fit decreasing. A dual-feasible-
 function lower bound certifies a partition whose bin count it reaches; the
 partitions with a gap give up their badly filled bins, whose pieces are dealt
-anew into fewer, larger-choice partitions and packed again.
+anew into fewer partitions and packed again, until every partition is certified
+or a round saves no bin. Every row carries its partition's bins and bound.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,21 +108,31 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document: its ids, then id 0, cut where over ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32) of every document: its ids, then id 0, cut where over ``capacity``.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null or empty text is the closing id alone; a null doc_id stays null;
+    repeated rows have pieces each; other columns are left behind; an empty
+    table gives an empty result.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            owner, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = words.encode(text or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+                    owner.append(i)
+                    rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = [pa.array([r[c] for r in rows], pa.int32() if c == 0 else pa.int64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], [c.split(" ")[0] for c in PIECE.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
@@ -174,54 +186,60 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, settled boolean"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part_bins long, part_bound long, settled boolean"
+#: Bins filled to this share stay where a partition has a gap.
+FULL = 0.995
 
 
-def _packer(capacity: int, width: int, part_of: str, level: int, last: bool):
-    """Packs each run of rows of one partition number; yields settled rows and those to be dealt anew."""
+def _packer(capacity: int, level: int):
+    """Packs the rows of one partition number; badly filled bins of a partition with a gap aren't settled."""
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        lengths = group["length"].to_numpy(dtype=np.int64)
+    def pack(group: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")]]
+        group = group.take(pc.sort_indices(group, sort_keys=keys))
+        lengths = group["length"].to_numpy()
         bins, at, count = best_fit_decreasing(lengths, capacity)
-        settled = np.ones(len(group), dtype=bool)
-        if not last and count > lower_bound(lengths, capacity):
-            filled = np.bincount(bins, weights=lengths, minlength=count)
-            settled = filled[bins] >= capacity * 0.995
-        part = int(group[part_of].iloc[0])
-        group["sequence_id"] = (np.int64(level) << 60) + (np.int64(part) << 32) + bins
-        group["offset"], group["settled"] = at, settled
-        return group[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "settled"]]
+        bound = lower_bound(lengths, capacity)
+        settled = np.ones(len(lengths), dtype=bool)
+        if count > bound:
+            settled = np.bincount(bins, weights=lengths, minlength=count)[bins] >= capacity * FULL
+        made = [(np.int64(level) << 56) + (np.int64(group["_part"][0].as_py()) << 32) + bins, at, np.full(len(bins), count), np.full(len(bins), bound), settled]
+        names = [c.split(" ")[0] for c in PACKED.split(", ")]
+        return pa.table([*[group[c] for c in names[:5]], *map(pa.array, made)], names=names)
 
     return pack
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, rows_per_part: int = 8192, rounds: int = 2) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, rows_per_part: int = 8192, rounds: int = 32) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound, certified.
 
-    ``docs`` needs doc_id and text; other columns are ignored. A null or empty
-    text is one piece of the closing id; longer documents than ``capacity`` are
-    cut and nothing else is; a null doc_id stays null; repeated rows are packed
-    each; an empty table gives an empty result. Partition sizes depend on the
-    number of pieces, never on a key, so no partition is unbounded.
+    part_bins and part_bound are the bins of the partition that packed the
+    piece and the fewest that any packing of it needs; ``certified`` says that
+    they are equal. ``docs`` needs doc_id and text; other columns are ignored. A
+    null or empty text is one piece of the closing id; longer documents than
+    ``capacity`` are cut and nothing else is; a null doc_id stays null; repeated
+    rows are packed each; an empty table gives an empty result. Partition sizes
+    depend on the number of pieces, never on a key, so no partition is
+    unbounded. Rounds end by themselves; ``rounds`` only bounds the numbers of
+    sequences.
     """
     todo = scratch.keep(pieces(docs, path, capacity), "pieces")
-    total, done = todo.count(), []
-    for level in range(rounds + 1):
-        last = level == rounds
+    total, before, done = todo.count(), None, []
+    for level in range(rounds):
         parts = max(1, -(-total // rows_per_part))
         spread = F.xxhash64(F.lit(level), "doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id() if level == 0 else F.col("sequence_id"))
         dealt = todo.withColumn("_part", F.pmod(spread, F.lit(parts)))
-        packed = dealt.groupBy("_part").applyInPandas(_packer(capacity, parts, "_part", level, last), PACKED)
-        packed = scratch.keep(packed, f"packed{level}")
-        done.append(packed.where("settled") if not last else packed)
-        if last:
-            break
-        todo = packed.where("not settled")
-        total = todo.count()
-        if not total:
+        packed = scratch.keep(dealt.groupBy("_part").applyInArrow(_packer(capacity, level), PACKED), f"packed{level}")
+        bins, left, open_bins = packed.agg(F.count_if(F.col("offset") == 0), F.count_if(~F.col("settled")), F.count_if((F.col("offset") == 0) & ~F.col("settled"))).first()
+        if before is not None and bins >= before:
+            break  # no bin saved: the packing before stays
+        if done:
+            done[-1] = done[-1].where("settled")
+        done.append(packed)
+        if not left or parts == 1:
             break
+        todo, total, before = packed.where("not settled"), left, open_bins
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("settled")
+    return out.drop("settled").withColumn("certified", F.col("part_bins") == F.col("part_bound"))

@@ -4,8 +4,8 @@ DataFrame and SQL functions only. Every document gets a vector of transformed
 statistics in fixed point, so that sums are exact and reruns agree. For each
 language and source, for each language, and for the whole table the
 minimum-covariance-determinant estimate is found from six deterministic starts
-by concentration steps. An estimate leans on that of the level above as if on
-PRIOR documents more, so small groups need no rule of their own. Documents whose
+by concentration steps. An estimate leans on that of the level above, half of it
+at PRIOR documents, so small groups need no rule of their own. Documents whose
 Mahalanobis distance exceeds a chi-square cutoff are rejected.
 """
 
@@ -32,7 +32,8 @@ DIMS = len(FLOORS)
 CORE = 0.75
 #: Concentration steps of all starts, and further ones of the BEST.
 STEPS, FURTHER, BEST = 2, 2, 2
-#: The estimate of the level above counts as so many documents.
+#: An estimate from so many documents counts as much as that of the level above; the ratio goes with the square of the
+#: documents, since an estimate from fewer than some ten is worth next to nothing.
 PRIOR = 100
 MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "estimate_rows")
 #: Distances are put in bins this many to a factor of e; a step keeps whole bins.
@@ -254,7 +255,7 @@ def raw_estimates(x: DataFrame) -> DataFrame:
 def _lean(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
     """``own`` estimates (GROUP, n, m0.., c00..) leaning on those ``above``, which they share ``keys`` with."""
     both = own.join(above.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*MEANS, *COVARIANCES)]), keys) if keys else own.crossJoin(above.select(*[F.col(c).alias(f"_{c}") for c in (*MEANS, *COVARIANCES)]))
-    return both.select(*GROUP, "n", *[F.expr(f"(n * {c} + {PRIOR}D * _{c}) / (n + {PRIOR}D)").alias(c) for c in (*MEANS, *COVARIANCES)])
+    return both.select(*GROUP, "n", *[F.expr(f"(n * n * {c} + {PRIOR**2}D * _{c}) / (n * n + {PRIOR**2}D)").alias(c) for c in (*MEANS, *COVARIANCES)])
 
 
 def estimates(x: DataFrame) -> DataFrame:

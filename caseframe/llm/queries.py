@@ -33,7 +33,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, carry=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,9 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.versions(_read(spark, sf_dir, "documents"))
+    found = fingerprints.versions(_read(spark, sf_dir, "documents"))
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("only_text", "only_edited")]
+    return found.select("*", *counts).drop("only_text", "only_edited")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

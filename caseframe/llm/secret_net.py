@@ -185,7 +185,7 @@ class _Writer:
         return self.draw("0123456789abcdef", self.below(16, 65)) if self.rng.random() < 0.6 else self.draw("0123456789ABCDEF", self.below(16, 65))
 
     def base64_key(self):
-        return base64.b64encode(self.rng.bytes(self.below(12, 48))).decode()
+        return base64.b64encode(self.rng.bytes(self.below(12, 48 if self.rng.random() < 0.8 else 150))).decode()
 
     def url_key(self):
         return base64.urlsafe_b64encode(self.rng.bytes(self.below(12, 48))).decode().rstrip("=")
@@ -305,6 +305,9 @@ class _Writer:
     def plain_word(self):
         return self.word() + self.one(["", self.one(WORDS)])
 
+    def repetition(self):
+        return (self.draw(ALNUM, self.below(1, 4)) * 200)[: self.below(6, 65 if self.rng.random() < 0.6 else 201)]
+
     # Other tokens that are held out.
     def formula(self):
         return "".join(f"{self.one(['C', 'H', 'O', 'N', 'Na', 'Cl', 'Fe'])}{self.below(2, 24)}" for _ in range(self.below(3, 5)))
@@ -327,7 +330,7 @@ class _Writer:
 
 TRAINED = (
     ("hex_key", "base64_key", "url_key", "access_key", "marked_key", "signed_claim", "alnum_key", "letter_key", "random_password", "spelled_password"),
-    ("numbered_word", "slug", "digits", "moment", "path", "archive", "address", "card", "network_place", "rule", "camel", "constant", "unique_id", "long_word", "release", "page_query", "model_number", "photo", "span", "postcode", "compound", "marked_word", "plain_word"),
+    ("numbered_word", "slug", "digits", "moment", "path", "archive", "address", "card", "network_place", "rule", "camel", "constant", "unique_id", "long_word", "release", "page_query", "model_number", "photo", "span", "postcode", "compound", "marked_word", "plain_word", "repetition"),
 )
 HELD_OUT = (
     ("base32_seed", "wallet_key", "dotted_key", "licence_key", "wavy_key", "lower_key"),
@@ -353,8 +356,8 @@ def labelled_findings(n: int, seed: int, kinds: tuple[tuple[str, ...], tuple[str
 
 
 def matrix(findings: list[tuple[str, int, int, int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbol ids, lengths, labels and shapes of the findings' first windows."""
-    rows = [(*window(text, start, end)[0], label, shape(text[start:end])) for text, start, end, label, _ in findings]
+    """Symbol ids, lengths, labels and shapes of all windows of the findings."""
+    rows = [(*w, label, shape(text[start:end])) for text, start, end, label, _ in findings for w in window(text, start, end)]
     return np.stack([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=np.float32), np.array([r[3] for r in rows])
 
 

@@ -125,18 +125,19 @@ def shuffle_shards(rows: DataFrame, shards: int = 40, seed: str = "shards", key:
     """``rows`` with law (``rows``), shard and slot: a uniform random order cut into shards of sizes at most one apart.
 
     Every row is one row of the result; slots of a shard run from 0 without a
-    gap. Reruns give the same shards. Null keys and repeated rows are dealt by
-    their position among equal keys and are rows of their own; an empty table
-    gives an empty result. All columns are carried, so pass those that are
-    needed; columns named law, shard or slot are replaced.
+    gap. Reruns give the same shards. Rows are dealt by their key and a hash of
+    the whole row, so many rows of one key, or with a null one, are spread;
+    rows that are equal in all columns are rows of their own. Texts are hashed
+    whole. An empty table gives an empty result. All columns are carried, so
+    pass those that are needed; columns named law, shard or slot are replaced.
     """
     n = rows.count()
     bits = bits_for(n, rows_per_block)
     rows, original = shield(rows, (key,), MADE)
-    first, second, third = (hash_key(F.col(key), seed=f"{seed}{i}") for i in range(3))
     # Equal keys, of which there may be many, are spread by a hash of the whole row.
+    first, second, third = (hash_key(F.col(key), F.col("_row"), seed=f"{seed}{i}") for i in range(3))
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    rows = rows.withColumn("_row", F.xxhash64(*columns)).withColumn("_block", bucket_of(F.when(F.col(key).isNull(), F.shiftrightunsigned("_row", 4)).otherwise(first), bits))
+    rows = rows.withColumn("_row", F.xxhash64(*columns)).withColumn("_block", bucket_of(first, bits))
     blocks = scratch.keep(rows.groupBy("_block").agg(F.count("*").alias("_n")), "blocks")
     matrix = communication_matrix(blocks, n, shards, seed, bits)
     local = Window.partitionBy("_block").orderBy(second, "_row")
@@ -148,8 +149,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 40, seed: str = "shards", key:
         .drop("_counts", "_ends", "_rank", "_block")
     )
     fine = max(0, bits - (shards - 1).bit_length() + 1)
-    again = F.when(F.col(key).isNull(), F.shiftrightunsigned(F.xxhash64("_row", F.lit(seed)), 4)).otherwise(third)
-    dealt = scratch.keep(dealt.withColumn("_again", again).withColumn("_part", bucket_of(F.col("_again"), fine)), "dealt")
+    dealt = scratch.keep(dealt.withColumn("_again", third).withColumn("_part", bucket_of(F.col("_again"), fine)), "dealt")
     starts = offsets(dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n")), ["shard"], "_part", "_n", "_start").drop("_n")
     inside = Window.partitionBy("shard", "_part").orderBy("_again", "_row")
     return (

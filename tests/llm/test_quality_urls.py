@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from caseframe.llm import quality, urls
@@ -116,3 +118,60 @@ def test_small_groups_get_a_verdict(spark):
     assert len(out) == len(rows) and all(r["base_failed"] or r["d2"] is not None for r in out.values())
     assert not any(r["kept"] for i, r in out.items() if i >= 2000)
     assert all(r["kept"] for i, r in out.items() if i < 2000 and not r["base_failed"])
+
+
+def fast_mcd(x, share, factor, floors, rng, starts=60):
+    """Smallest log determinant of regularized core covariances, from random starts concentrated until they stand still."""
+    n, best = len(x), None
+    h = math.ceil(share * n)
+    for _ in range(starts):
+        core = rng.choice(n, 6, replace=False)
+        for _ in range(60):
+            mean, cov = x[core].mean(axis=0), factor * np.cov(x[core].T, bias=True) + np.diag(np.square(floors))
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.argsort(d2, kind="stable")[:h]
+            if set(new) == set(core):
+                break
+            core = new
+        logdet = np.linalg.slogdet(factor * np.cov(x[core].T, bias=True) + np.diag(np.square(floors)))[1]
+        if best is None or logdet < best[0]:
+            best = (logdet, x[core].mean(axis=0))
+    return best
+
+
+@pytest.mark.parametrize("seed,outliers", [(1, 0), (2, 40), (3, 50)])
+def test_estimates_are_as_good_as_those_of_many_random_starts(spark, seed, outliers):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (240, quality.DIMS)) @ rng.normal(0, 1, (quality.DIMS, quality.DIMS)) + 5
+    x[:outliers] = rng.normal(0, 0.3, (outliers, quality.DIMS)) + rng.normal(0, 12, quality.DIMS)
+    rows = [("=en", "=a", *map(int, np.round(r * quality.UNIT))) for r in x]
+    df = spark.createDataFrame(rows, "_lang string, _source string, " + ", ".join(f"x{i} long" for i in range(quality.DIMS)))
+    got = quality.raw_estimates(df).collect()
+    assert len(got) == 1
+    want, mean = fast_mcd(np.round(x * quality.UNIT) / quality.UNIT, quality.CORE, quality._consistency(quality.CORE), quality.FLOORS, rng)
+    # A core is of whole bins of distances, so it may hold some documents more.
+    assert got[0]["logdet"] <= want + 0.35
+    assert max(abs(got[0][f"m{i}"] - mean[i]) / x[outliers:, i].std() for i in range(quality.DIMS)) < 0.35
+
+
+def test_factor_and_distance(spark):
+    rng = np.random.default_rng(4)
+    cov = np.cov(rng.normal(0, 1, (quality.DIMS, 40)) * np.arange(1, quality.DIMS + 1)[:, None]) + np.eye(quality.DIMS)
+    mean, x = rng.normal(0, 3, quality.DIMS), rng.normal(0, 3, quality.DIMS)
+    row = ["=en", "=a", *map(float, mean), *[float(cov[i, j]) for i, j in quality.PAIRS]]
+    df = spark.createDataFrame([tuple(row)], ", ".join(["_lang string", "_source string", *[f"{c} double" for c in quality.MEANS + quality.COVARIANCES]]))
+    out = quality._triangle(df)
+    assert math.isclose(out.first()["logdet"], np.linalg.slogdet(cov)[1], abs_tol=1e-9)
+    fixed = np.round(x * quality.UNIT).astype(int)
+    d2 = quality._distance(out.withColumns({f"x{i}": F.lit(int(v)) for i, v in enumerate(fixed)})).first()["d2"]
+    apart = fixed / quality.UNIT - mean
+    assert math.isclose(d2, apart @ np.linalg.inv(cov) @ apart, rel_tol=1e-9)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """The verdict says which documents the own estimate was made from; a group of few leans on the others."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng.randint(60, 900), rng), "en", "big") for i in range(150)] + [(1000 + i, prose(rng.randint(60, 900), rng), "en", f"s{i}") for i in range(8)]
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[1000 + i]["estimate_rows"] == 1 and out[1000 + i]["d2"] < 30 for i in range(8))
+    assert 100 <= out[0]["estimate_rows"] <= 150
