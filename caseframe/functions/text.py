@@ -69,9 +69,12 @@ def duration_label(duration: Column, empty: str = "null") -> Column:
     return F.when(duration.isNull(), F.lit(empty)).otherwise(F.concat_ws(" ", duration["value"].cast("string"), duration["unit"]))
 
 
-def title_label(c: Column) -> Column:
-    """Display text of an enumerated value."""
-    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+def display_label(c: Column, labels: dict[str, str]) -> Column:
+    """Display text of an enumerated value; other values have their underscores as spaces."""
+    shown = F.replace(c, F.lit("_"), F.lit(" "))
+    for value, label in labels.items():
+        shown = F.when(c == value, F.lit(label)).otherwise(shown)
+    return shown
 
 
 def safe_model_name(c: Column) -> Column:

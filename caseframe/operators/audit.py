@@ -74,10 +74,10 @@ def coverage_values(df: DataFrame, by: str, target: str = "target") -> DataFrame
 def lexical_stats(df: DataFrame, text: str, by: tuple[str, ...]) -> DataFrame:
     """For each group: utterances, distinct ones, tokens, vocabulary, type-token ratio, normalized entropy.
 
-    Tokens are counted per group and token first, so the shuffle carries the
-    vocabulary and not the text.
+    Tokens are counted per group and token first, and distinct texts by their
+    128-bit digests, so the shuffles carry the vocabulary and digests, not the text.
     """
-    base = df.select(*by, tx.normalize_text(F.col(text)).alias("_t"), tx.tokenize(F.col(text)).alias("_w"))
+    base = df.select(*by, F.unhex(F.md5(tx.normalize_text(F.col(text)))).alias("_t"), tx.tokenize(F.col(text)).alias("_w"))
     whole = base.groupBy(*by).agg(F.count("*").alias("utterances"), F.count_distinct("_t").alias("distinct_utterances"))
     counts = elements(base, "_w", "_w", *by).groupBy(*by, "_w").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("tokens"), F.count("*").alias("vocabulary"), F.sum(F.col("n") * F.ln("n")).alias("_nlogn"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions.normalize import derived_missing_struct
 from caseframe.functions.text import arabic_digits
-from caseframe.schema import ALLERGENS, DURATION, GROUPS, INFO, LANGUAGES, MEDICATIONS, PATTERN_WEIGHTS, PATTERNS, SAMPLE_SOURCE, SCHEMA_VERSION, SEED, SYMPTOM, TARGET_FIELDS, UNITS
+from caseframe.schema import ALLERGENS, DURATION, GROUPS, INFO, LANGUAGES, MEDICATIONS, PATTERN_WEIGHTS, PATTERNS, SAMPLE_SOURCE, SCHEMA_VERSION, SEED, STATUSES, SYMPTOM, TARGET_FIELDS, UNITS
 
 LONGEST = {"hours": 12, "days": 7, "weeks": 3}
 
@@ -118,23 +118,25 @@ def generate_cases(spark: SparkSession, n: int, seed: int = SEED, partitions: in
     df = df.withColumn("chief_complaint", draw.pick("chief", F.col("_complaints")))
     df = df.withColumn("_pool", draw.order("pool", candidate_pool(F.col("_complaints"), F.col("_related"), F.col("chief_complaint"))))
     pattern, pool = F.col("case_pattern"), F.col("_pool")
+    gaps = pattern.isin("missing_duration", "missing_medications", "missing_allergies")
     # How many further symptoms each pattern takes.
     extra = (
-        F.when(pattern == "simple", 0)
-        .when(pattern.isin("negation", "uncertainty"), draw.below("extra", 2) + 1)
+        F.when(pattern.isin("negation", "uncertainty"), 1)
         .when(pattern == "mixed", 3)
         .when(pattern == "multiple_present", draw.below("extra", 3) + 1)
-        .otherwise(F.when(draw.uniform("extra") < 0.5, 1).otherwise(0))
+        .when(gaps & (draw.uniform("extra") < 0.5), 1)
+        .otherwise(0)
     )
-    mixed = draw.order("statuses", strings(("present", "absent", "uncertain")))
-    status = lambda i: F.when(pattern == "negation", "absent").when(pattern == "uncertainty", "uncertain").when(pattern == "mixed", F.get(mixed, i)).otherwise("present")
-    chance = F.when(pattern == "mixed", 0.4).when(pattern == "multiple_present", 0.8).otherwise(0.9)
+    mixed, any_status = draw.order("statuses", strings(STATUSES)), draw.pick("status", strings(STATUSES))
+    status = lambda i: F.when(pattern == "negation", "absent").when(pattern == "uncertainty", "uncertain").when(pattern == "mixed", F.get(mixed, i)).when(gaps, any_status).otherwise("present")
+    chance = F.when(pattern == "mixed", 0.4).when(pattern == "multiple_present", 0.5).otherwise(0.3)
     more = F.transform(
         F.slice(pool, 1, F.least(extra, F.size(pool))),
         lambda name, i: symptom(name, status(i), F.when(draw.uniform("more:has", name) < chance, random_duration(draw, "more", name))),
     )
     forced = pattern.isin("missing_medications", "missing_allergies")
-    own = F.when(pattern == "missing_duration", F.lit(None).cast(DURATION)).when(forced, random_duration(draw, "own")).otherwise(optional_duration(draw, "own", 0.85))
+    own = F.when(pattern == "missing_duration", F.lit(None).cast(DURATION)).when(forced, random_duration(draw, "own"))
+    own = own.when(pattern == "multiple_present", optional_duration(draw, "own", 0.9)).otherwise(optional_duration(draw, "own", 0.85))
     df = df.withColumn("symptoms", F.concat(F.array(symptom(F.col("chief_complaint"), F.lit("present"), own)), more))
     df = df.withColumn("medications", medications(draw, pattern == "missing_medications"))
     df = df.withColumn("allergies", allergies(draw, pattern == "missing_allergies", F.col("medications")["items"]))

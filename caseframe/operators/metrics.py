@@ -124,5 +124,5 @@ def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction",
     return staged.withColumns({m: valid & F.coalesce(columns[m], F.lit(False)) for m in METRICS}).drop("_p", "_t", "_pf", "_tf")
 
 
-#: Metrics by name; ``compare`` and the command line take any of them.
+#: Metrics by name, for callers that choose some of them.
 REGISTRY: dict[str, Callable[[], Column]] = {m: (lambda m=m: F.col(m)) for m in METRICS}

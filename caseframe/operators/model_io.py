@@ -13,12 +13,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseframe.schema import PROMPT_HIDDEN
+
 BATCH, ATTEMPTS, DELAY = 32, 5, 2.0
 IGNORED = -100
 #: Own wording; the contract is the five fields and that nothing is invented.
 SYSTEM = "Extract the facts of the statement as one JSON object with the fields chief_complaint, symptoms, medications, allergies and missing_information. State nothing that is not said."
 JUDGE = "Case: %s\nLanguage: %s\nStatement: %s\nDoes the statement say exactly what the case says, in this language? Answer with semantic_passed, language_passed, semantic_errors and language_errors as JSON."
 
+UTTERANCE = "Say in %s, in one or two plain sentences of a patient, exactly what this case says and nothing else: %s"
 
 
 def messages(system: Column, user: Column, assistant: Column | None = None) -> Column:
@@ -46,6 +49,16 @@ def judge_prompt(case: Column, language: Column, utterance: Column) -> Column:
     return F.format_string(JUDGE, case, language, utterance)
 
 
+def prompt_case(cases: DataFrame) -> list[str]:
+    """The columns of a case that a model may see: all but ids, split, pattern and group."""
+    return [c for c in cases.columns if c not in PROMPT_HIDDEN]
+
+
+def utterance_prompt(cases: DataFrame, language: Column) -> Column:
+    """What a model is asked to say as a patient would: the visible fields of a case as compact JSON, and the language."""
+    return F.format_string(UTTERANCE, language, compact_json(F.struct(*prompt_case(cases))))
+
+
 def mask_labels(tokens: Column, prompt_tokens: Column) -> Column:
     """Labels of a token list: those of the prompt are ignored."""
     return F.transform(tokens, lambda t, i: F.when(i < prompt_tokens, F.lit(IGNORED)).otherwise(t))

@@ -75,11 +75,19 @@ def error_type_counts(verdicts: DataFrame, column: str) -> DataFrame:
 
 
 def report_order(df: DataFrame) -> DataFrame:
-    """Rows by split rank, language and case, numbered ``i`` of ``n``."""
+    """Rows numbered ``ordinal`` of ``total`` by split rank, language and case.
+
+    Rows are numbered within their split and language, and these follow each
+    other by their counts: one small table of splits and languages is in order.
+    """
     from pyspark.sql.window import Window
 
-    order = [split_rank(F.col("split")), F.col("language"), F.col("case_id")]
-    return df.withColumns({"ordinal": F.row_number().over(Window.orderBy(*order)), "total": F.count("*").over(Window.partitionBy())}).orderBy("ordinal")
+    rows = df.withColumns({"_rank": split_rank(F.col("split")), "_lang": F.coalesce("language", F.lit(""))})
+    sizes = rows.groupBy("_rank", "_lang").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_rank", "_lang").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "total": F.sum("_size").over(Window.partitionBy())}).drop("_size")
+    own = F.row_number().over(Window.partitionBy("_rank", "_lang").orderBy("case_id"))
+    return rows.join(sizes, ["_rank", "_lang"]).withColumn("ordinal", (F.col("_before") + own).cast("long")).drop("_rank", "_lang", "_before")
 
 
 VERDICT_KEYS = ("semantic_passed", "language_passed", "semantic_errors", "language_errors")

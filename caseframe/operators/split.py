@@ -18,13 +18,21 @@ def shuffle_key(id_column: str, seed: int = SEED) -> Column:
 
 
 def stratified(df: DataFrame, stratum: str, id_column: str, seed: int = SEED) -> DataFrame:
-    """``df`` with ``split``: in each stratum, in shuffled order, the first 80 % (half-even) train, 10 % validate, the rest test."""
-    n = F.count("*").over(Window.partitionBy(stratum))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffle_key(id_column, seed), id_column))
-    ranked = df.withColumns({"_n": n, "_rank": rank})
+    """``df`` with ``split``: in each stratum, in shuffled order, the first 80 % (half-even) train, 10 % validate, the rest test.
+
+    Ranks are taken within buckets of the shuffle order (its first 16 bits) and
+    added to the sizes of the buckets before, so a stratum may hold all rows.
+    """
+    keyed = df.withColumn("_key", shuffle_key(id_column, seed)).withColumn("_bucket", F.substring("_key", 1, 4))
+    sizes = keyed.groupBy(stratum, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(stratum).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(stratum))})
+    sizes = sizes.select(F.col(stratum).alias("_stratum"), F.col("_bucket").alias("_of"), "_before", "_n")
+    placed = keyed.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_bucket") == F.col("_of")))
+    rank = F.row_number().over(Window.partitionBy(stratum, "_bucket").orderBy("_key", id_column)) + F.col("_before")
     train, validation = F.bround(F.col("_n") * F.lit(TRAIN)), F.bround(F.col("_n") * F.lit(VALIDATION))
     split = F.when(F.col("_rank") <= train, F.lit("train")).when(F.col("_rank") <= train + validation, F.lit("validation")).otherwise(F.lit("test"))
-    return ranked.withColumn("split", split).drop("_n", "_rank")
+    return placed.withColumn("_rank", rank).withColumn("split", split).drop("_key", "_bucket", "_stratum", "_of", "_before", "_n", "_rank")
 
 
 def leakage(df: DataFrame, id_column: str) -> DataFrame:

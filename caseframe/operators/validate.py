@@ -85,10 +85,11 @@ def target_errors(v: Column) -> Column:
 
 
 #: What each pattern promises of its cases, by the statuses and the number of symptoms.
-def _promises(pattern: Column, symptoms: Column, medications: Column, allergies: Column, missing: Column) -> list[Column]:
+def _promises(pattern: Column, chief: Column, symptoms: Column, medications: Column, allergies: Column, missing: Column) -> list[Column]:
     statuses = F.transform(symptoms, lambda s: s["status"])
     has = lambda *wanted: F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), statuses)) == 0
     lists = lambda name: F.array_contains(missing, name)
+    timed = F.exists(symptoms, lambda s: (s["name"] == chief) & s["duration"].isNotNull())
     present = F.size(F.filter(statuses, lambda s: s == "present"))
     rules = {
         "simple": F.size(symptoms) == 1,
@@ -96,8 +97,8 @@ def _promises(pattern: Column, symptoms: Column, medications: Column, allergies:
         "uncertainty": has("uncertain"),
         "mixed": has("present", "absent", "uncertain"),
         "missing_duration": lists("duration"),
-        "missing_medications": lists("medications") & (medications["status"] == "unknown"),
-        "missing_allergies": lists("allergies") & (allergies["status"] == "unknown"),
+        "missing_medications": lists("medications") & (medications["status"] == "unknown") & timed,
+        "missing_allergies": lists("allergies") & (allergies["status"] == "unknown") & timed,
         "multiple_present": present >= 2,
     }
     return [_error(f"pattern_{name}", (pattern == name) & ~F.coalesce(rule, F.lit(False))) for name, rule in rules.items()]
@@ -112,7 +113,7 @@ def with_case_errors(cases: DataFrame) -> DataFrame:
         _error("case_id", ~F.coalesce(F.col("case_id").rlike(r"^\S+$"), F.lit(False))),
         _error("medication_is_allergen", F.size(both) > 0, F.array_join(both, ",")),
     ]
-    more += _promises(F.col("case_pattern"), F.col("symptoms"), F.col("medications"), F.col("allergies"), F.col("missing_information"))
+    more += _promises(F.col("case_pattern"), F.col("chief_complaint"), F.col("symptoms"), F.col("medications"), F.col("allergies"), F.col("missing_information"))
     return staged.withColumn("errors", once(F.concat(target_errors(F.col("_v")), _collect(*more)))).drop("_v")
 
 

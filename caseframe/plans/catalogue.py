@@ -12,9 +12,10 @@ from caseframe.functions import text as tx
 from caseframe.functions.arrays import elements
 from caseframe.operators import audit, compare, evaluate, failures, generate, metrics, model_io, qc, repair, split, validate
 from caseframe.operators.expectations import duplicate_keys
-from caseframe.plans import views
+from caseframe.plans import roundtrips, views
 from caseframe.plans.oracle import ORACLE
-from caseframe.schema import DIALECTS, LANGUAGES, METRICS
+from caseframe.schema import DIALECTS, INFO_LABELS, LANGUAGES, METRICS, MISSING_LABELS, STATUS_LABELS
+from caseframe.sources import scratch
 from caseframe.sources.jsonl import keep_first, keep_last
 from caseframe.sources.tables import table
 
@@ -58,19 +59,19 @@ def eval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def eval_metrics_e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluate.metric_counts(_scored(spark, sf_dir, dialect="e1"), None)
-    wanted = ("valid_json", "schema_valid", "chief_complaint", "symptom_extraction", "medication", "allergy", "missing_information_raw")
-    return evaluate.long_counts(counts, "percent").where(F.col("metric").isin(*wanted)).select("metric", "correct", "total", "accuracy")
+    return evaluate.long_counts(counts, "percent").select("metric", "correct", "total", "accuracy")
 
 
 @query
 def eval_metrics_e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluate.metric_counts(_scored(spark, sf_dir, dialect="e3"), None)
-    wanted = ("valid_json", "schema_valid", "chief_complaint", "symptom_extraction", "symptom_status", "duration", "medication", "allergy", "missing_information_raw", "missing_information_derived")
-    return evaluate.long_counts(counts, "percent").where(F.col("metric").isin(*wanted)).select("metric", "correct", "total", "accuracy")
+    return evaluate.long_counts(counts, "percent").select("metric", "correct", "total", "accuracy")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.paired(_scored(spark, sf_dir), _scored(spark, sf_dir, views.CANDIDATE))
+    cases = scratch.keep(views.cases(spark, sf_dir), "cases")
+    base, candidate = (metrics.score(views.predictions(spark, sf_dir, shift, cases), DIALECTS["e2"]) for shift in (views.BASE, views.CANDIDATE))
+    return compare.paired(base, candidate)
 
 
 @query
@@ -248,12 +249,9 @@ def qc_failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def qc_report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected rows in report order, numbered within their split; a window for each split keeps it distributed."""
-    from pyspark.sql.window import Window
-
+    """Rejected rows in report order, numbered i of n over the whole report."""
     rows = qc.rejected(_judged(spark, sf_dir).where("semantic_passed is not null")).join(_split(spark, sf_dir).select(F.col("doc_id").alias("case_id"), "split"), "case_id")
-    order = Window.partitionBy("split").orderBy("language", "case_id")
-    return rows.select("case_id", "split", F.row_number().over(order).cast("long").alias("ordinal"), qc.split_rank(F.col("split")).alias("rank"))
+    return qc.report_order(rows).select("case_id", "split", "ordinal", "total", qc.split_rank(F.col("split")).alias("rank"))
 
 
 @query
@@ -368,7 +366,7 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def repair_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("case_id"))
+    cases = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("case_id"))
     language = F.get(generate.strings(LANGUAGES), (F.col("o_orderkey") % 7).cast("int"))
     bad = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), language.alias("language"))
     return repair.repair_overlap(cases, bad)
@@ -455,8 +453,13 @@ def target_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(tx.title_label(F.concat("event_type", F.lit("_done"))).alias("label"))
-    return split.distribution(rows, "label")
+    cases = views.cases(spark, sf_dir)
+    shown = lambda rows, kind, value, labels: rows.select(F.lit(kind).alias("kind"), tx.display_label(value, labels).alias("label"))
+    rows = shown(elements(cases, "symptoms", "s"), "symptom", F.col("s.status"), STATUS_LABELS)
+    for field in ("medications", "allergies"):
+        rows = rows.unionByName(shown(cases, field, F.col(field)["status"], INFO_LABELS))
+    rows = rows.unionByName(shown(elements(cases, "missing_information", "m"), "missing", F.col("m"), MISSING_LABELS))
+    return split.distribution(rows, "kind", "label")
 
 
 @query
@@ -500,8 +503,8 @@ def sorted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | roundtrips.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | roundtrips.ORACLE

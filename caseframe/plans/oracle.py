@@ -40,8 +40,12 @@ def predicted(shift: int, name: str) -> str:
     CASE WHEN k = 5 AND pos = 1 THEN NULL ELSE unit END AS unit
   FROM lines l JOIN {name}_kind USING (case_id) WHERE NOT (k = 3 AND pos = n)
   UNION ALL SELECT case_id, n + 1, 'sym_extra', 'absent', NULL, NULL FROM {name}_kind WHERE k = 4),
+{name}_last AS (
+  SELECT case_id, list(name || '/' || status ORDER BY name) AS last_statuses, list(name || '/' || d ORDER BY name) AS last_durations FROM (
+    SELECT case_id, name, arg_max(status, pos) AS status, arg_max(coalesce(value || unit, '-'), pos) AS d FROM {name}_lines GROUP BY case_id, name) GROUP BY case_id),
 {name}_map AS (
   SELECT case_id, count(*) = count(DISTINCT name) AS single, list(name ORDER BY name) AS names,
+    list(name || '/' || status || '/' || coalesce(value || unit, '-') ORDER BY name || '/' || status || '/' || coalesce(value || unit, '-')) AS entries,
     list(name || '/' || status ORDER BY name, status) AS statuses,
     list(name || '/' || coalesce(value || unit, '-') ORDER BY name, coalesce(value || unit, '-')) AS durations
   FROM {name}_lines GROUP BY case_id),
@@ -51,8 +55,12 @@ def predicted(shift: int, name: str) -> str:
 
 
 TRUTH = """
+true_last AS (
+  SELECT case_id, list(name || '/' || status ORDER BY name) AS last_statuses, list(name || '/' || d ORDER BY name) AS last_durations FROM (
+    SELECT case_id, name, arg_max(status, pos) AS status, arg_max(coalesce(value || unit, '-'), pos) AS d FROM lines GROUP BY case_id, name) GROUP BY case_id),
 true_map AS (
   SELECT case_id, count(*) = count(DISTINCT name) AS single, list(name ORDER BY name) AS names,
+    list(name || '/' || status || '/' || coalesce(value || unit, '-') ORDER BY name || '/' || status || '/' || coalesce(value || unit, '-')) AS entries,
     list(name || '/' || status ORDER BY name, status) AS statuses,
     list(name || '/' || coalesce(value || unit, '-') ORDER BY name, coalesce(value || unit, '-')) AS durations
   FROM lines GROUP BY case_id)"""
@@ -71,18 +79,19 @@ def scored(shift: int, name: str, dialect: str = "e2") -> str:
         status, duration = both + "coalesce(p.statuses, []) = t.statuses", both + "coalesce(p.durations, []) = t.durations"
     else:
         extraction = "list_sort(list_distinct(coalesce(p.names, []))) = list_sort(list_distinct(t.names))"
-        status = duration = "NULL"
+        status, duration = ("coalesce(pl.last_{0}, []) = tl.last_{0}".format(c) for c in ("statuses", "durations"))
     if dialect == "e2":
         extraction, status, duration = (x.replace("CASE WHEN p.single THEN", "CASE WHEN coalesce(p.single, false) THEN") for x in (extraction, status, duration))
+    core = "extraction AND status AND duration" if dialect == "e2" else "entries"
     return f"""
 {name}_fields AS (
   SELECT c.case_id, {LANGUAGE.format("c.case_id")} AS language, {valid} AS valid,
-    {extraction} AS extraction, {status} AS status, {duration} AS duration,
+    {extraction} AS extraction, {status} AS status, {duration} AS duration, coalesce(p.entries, []) = t.entries AS entries,
     (ch.first IS NULL OR ch.first[2] IS NULL) = c.no_duration AS derived
-  FROM {name}_kind c JOIN true_map t USING (case_id) LEFT JOIN {name}_map p USING (case_id) LEFT JOIN {name}_chief ch USING (case_id)),
+  FROM {name}_kind c JOIN true_map t USING (case_id) JOIN true_last tl USING (case_id) LEFT JOIN {name}_map p USING (case_id) LEFT JOIN {name}_last pl USING (case_id) LEFT JOIN {name}_chief ch USING (case_id)),
 {name} AS (
-  SELECT case_id, language, valid AS valid_json, valid AS schema_valid, valid AND extraction AND status AND duration AS raw_exact,
-    valid AND extraction AND status AND duration AS core_exact, valid AND extraction AND status AND duration AND derived AS pipeline_exact,
+  SELECT case_id, language, valid AS valid_json, valid AS schema_valid, valid AND {core} AS raw_exact,
+    valid AND {core} AS core_exact, valid AND {core} AND derived AS pipeline_exact,
     valid AS chief_complaint, valid AND extraction AS symptom_extraction, valid AND status AS symptom_status, valid AND duration AS duration,
     valid AS medication, valid AS allergy, valid AS missing_information_raw, valid AND derived AS missing_information_derived
   FROM {name}_fields)"""
@@ -182,11 +191,13 @@ DURATION = f"""WITH h AS (SELECT o_orderkey, ('0x' || substr({HASHED}, 1, 2))::I
 d AS (SELECT o_orderkey, {UNITS}[a % 3 + 1] AS unit, b % [12, 7, 3][a % 3 + 1] + 1 AS value FROM h)
 SELECT o_orderkey, value, unit, value || ' ' || unit AS label FROM d"""
 
-E1_METRICS = ("valid_json", "schema_valid", "chief_complaint", "symptom_extraction", "medication", "allergy", "missing_information_raw")
-E3_METRICS = ("valid_json", "schema_valid", "chief_complaint", "symptom_extraction", "symptom_status", "duration", "medication", "allergy", "missing_information_raw", "missing_information_derived")
-
 ORACLE: dict[str, str] = {
-    "status_labels": """SELECT upper(event_type[1]) || substr(event_type, 2) || ' Done' AS label, count(*) AS total FROM events GROUP BY 1""",
+    "status_labels": "WITH " + CASES.strip().rstrip(",") + """, shown AS (
+  SELECT 'symptom' AS kind, CASE status WHEN 'present' THEN 'Present' WHEN 'absent' THEN 'Absent' ELSE 'Uncertain' END AS label FROM lines
+  UNION ALL SELECT 'medications', CASE med WHEN 'unknown' THEN 'Not reported' WHEN 'none' THEN 'None reported' ELSE 'Reported' END FROM cases
+  UNION ALL SELECT 'allergies', CASE alg WHEN 'unknown' THEN 'Not reported' WHEN 'none' THEN 'None reported' ELSE 'Reported' END FROM cases
+  UNION ALL SELECT 'missing', 'symptom duration' FROM cases WHERE no_duration UNION ALL SELECT 'missing', 'current medications' FROM cases WHERE med = 'unknown'
+  UNION ALL SELECT 'missing', 'allergies' FROM cases WHERE alg = 'unknown') SELECT kind, label, count(*) AS total FROM shown GROUP BY ALL""",
     "model_names": """SELECT p_partkey, replace(replace(replace(lower(trim(' ' || p_name || '+' || p_brand || '/' || p_type)), ' ', '_'), '+', 'plus'), '/', '_') AS name FROM part""",
     "positional_check": "SELECT o_orderkey AS ordinal FROM orders WHERE o_orderkey % 50 = 0 OR o_orderkey % 101 = 0",
     "judge_prompts": """SELECT doc_id, md5(concat('Case: ', source, chr(10), 'Language: ', lang, chr(10), 'Statement: ', text, chr(10),
@@ -208,8 +219,8 @@ long AS (UNPIVOT counts ON {METRIC_LIST} INTO NAME metric VALUE correct)
 SELECT scope, metric, total - correct AS failed FROM long"""
     ),
     "eval_samples": with_scores(f" SELECT case_id, language, {METRIC_LIST} FROM base"),
-    "eval_metrics_e1": with_scores(counted("'ALL'", E1_METRICS, "100.0 * ").format(""), dialect="e1"),
-    "eval_metrics_e3": with_scores(counted("'ALL'", E3_METRICS, "100.0 * ").format(""), dialect="e3"),
+    "eval_metrics_e1": with_scores(counted("'ALL'", scale="100.0 * ").format(""), dialect="e1"),
+    "eval_metrics_e3": with_scores(counted("'ALL'", scale="100.0 * ").format(""), dialect="e3"),
     "compare_categories": with_scores(
         OUTCOMES.format(b=PAIR_COLUMNS, m=METRIC_LIST, by="", more="both_correct + regressed AS base_correct, both_correct + improved AS candidate_correct,"), both=True
     ),
@@ -259,8 +270,8 @@ SELECT case_id, array_to_string(l, ',') AS languages, array_to_string(list_filte
     + " SELECT language, count(*) AS total, count(*) FILTER (NOT s) AS semantic_failed, count(*) FILTER (NOT k) AS language_failed, count(*) FILTER (NOT s OR NOT k) AS either_failed FROM judged WHERE s IS NOT NULL GROUP BY language",
     "qc_failure_kinds": JUDGED + " SELECT count(*) FILTER (NOT s AND k) AS semantic_only, count(*) FILTER (s AND NOT k) AS language_only, count(*) FILTER (NOT s AND NOT k) AS both FROM judged WHERE s IS NOT NULL",
     "qc_report_order": SPLIT
-    + """ SELECT doc_id AS case_id, split, row_number() OVER (PARTITION BY split ORDER BY lang, doc_id) AS ordinal, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS rank
-FROM parts JOIN labels USING (doc_id) WHERE quality <> 1 OR toxic <> 0""",
+    + """, r AS (SELECT doc_id AS case_id, split, lang, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS rank FROM parts JOIN labels USING (doc_id) WHERE quality <> 1 OR toxic <> 0)
+SELECT case_id, split, row_number() OVER (ORDER BY rank, lang, case_id) AS ordinal, count(*) OVER () AS total, rank FROM r""",
     "qc_error_types": """SELECT error_type, count(*) AS occurrences FROM (SELECT 'wrong_status' AS error_type FROM labels WHERE quality <> 1 UNION ALL SELECT 'mixed' FROM labels WHERE toxic <> 0
   UNION ALL SELECT 'unknown' FROM labels WHERE quality <> 1 AND toxic <> 0) GROUP BY 1""",
     "coverage_by_group": "WITH "
@@ -302,7 +313,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_part
 FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l USING (doc_id)""",
     "invalidate_keys": """SELECT doc_id, quality, toxic, CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') THEN 'removed' ELSE 'kept' END AS side FROM labels""",
     "resume_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "repair_overlap": f"""WITH a AS (SELECT c_custkey AS case_id, unnest({LANGS}) AS language FROM customer WHERE c_custkey % 5 = 0),
+    "repair_overlap": f"""WITH a AS (SELECT c_custkey AS case_id, unnest({LANGS}) AS language FROM customer WHERE c_mktsegment = 'BUILDING'),
 b AS (SELECT DISTINCT o_custkey AS case_id, {LANGUAGE.format("o_orderkey")} AS language FROM orders)
 SELECT (SELECT count(*) FROM a) AS from_cases, (SELECT count(*) FROM b) AS from_failures, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS all_keys,
   (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS overlap""",

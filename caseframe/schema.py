@@ -23,6 +23,10 @@ GROUPS = {
 }
 MEDICATIONS = ("ibuprofen", "paracetamol", "aspirin", "amoxicillin")
 ALLERGENS = ("penicillin", "aspirin", "ibuprofen")
+STATUS_LABELS = {"present": "Present", "absent": "Absent", "uncertain": "Uncertain"}
+INFO_LABELS = {"unknown": "Not reported", "none": "None reported", "reported": "Reported"}
+MISSING_LABELS = {"duration": "symptom duration", "medications": "current medications", "allergies": "allergies"}
+PROMPT_HIDDEN = ("_split", "case_pattern", "symptom_group", "case_id")
 SAMPLE_SOURCE, SCHEMA_VERSION = "synthetic", "v2"
 SEED, MAX_TOKENS = 42, 512
 

@@ -110,9 +110,11 @@ def back_up(spark: SparkSession, path: str, suffix: str = ".backup", overwrite:
 
 
 def table_text(df: DataFrame, widths: dict[str, int], limit: int = 1000) -> str:
-    """A fixed-width report of a small table: numbers to the right, texts to the left; laid out by the engine."""
+    """A fixed-width report of a small table: numbers to the right, texts to the left; laid out by the engine. A larger table raises."""
     kinds = dict(df.dtypes)
     cell = lambda c, w: (F.rpad if kinds[c] == "string" else F.lpad)(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ")
-    lines = df.limit(limit).select(F.concat_ws("  ", *[cell(c, w) for c, w in widths.items()]).alias("line")).collect()
+    lines = df.limit(limit + 1).select(F.concat_ws("  ", *[cell(c, w) for c, w in widths.items()]).alias("line")).collect()
+    if len(lines) > limit:
+        raise ValueError(f"a report has at most {limit} rows")
     head = "  ".join(c[:w].ljust(w) if kinds[c] == "string" else c[:w].rjust(w) for c, w in widths.items())
     return "\n".join([head, "-" * len(head), *[r["line"].rstrip() for r in lines]])

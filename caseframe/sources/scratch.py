@@ -38,10 +38,15 @@ def folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the scratch folder for one table; it is deleted at exit."""
     path = f"{folder(spark)}/caseframe/{name}-{uuid.uuid4().hex}"
+    adopt(path)
+    return path
+
+
+def adopt(path: str) -> None:
+    """Have a path deleted with the others."""
     _written.add(path)
     if (paths := _recorder.get()) is not None:
         paths.append(path)
-    return path
 
 
 def keep(df: DataFrame, name: str = "part") -> DataFrame:
