@@ -176,6 +176,14 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log(d2 + 1e-3) * (BINS / 2)).cast("int")
 
 
+#: Tables of estimates go to every task up to so many rows of 24 numbers (20 MB); beyond, the engine chooses the join.
+SENT = 100_000
+
+
+def _sendable(estimates: DataFrame) -> DataFrame:
+    return F.broadcast(estimates) if estimates.count() <= SENT else estimates
+
+
 def _levels(x: DataFrame) -> DataFrame:
     """Every row for its own group, its language ("*" as the source) and the table; names of the others begin with "=" or are empty."""
     level = lambda a, b: F.struct(a.alias("_lang"), b.alias("_source"))
@@ -243,13 +251,13 @@ def _best(guess: DataFrame, n: int) -> DataFrame:
 
 def raw_estimates(x: DataFrame) -> DataFrame:
     """For each group (_lang, _source) of ``x`` the minimum-covariance-determinant estimate: m0.., w00.., logdet."""
-    guess = scratch.keep(_starts(x, scratch.keep(_middle(x), "middle")), "starts")
+    guess = scratch.keep(_starts(x, _sendable(scratch.keep(_middle(x), "middle"))), "starts")
     for _ in range(STEPS):
-        guess = scratch.keep(_concentrate(x, guess), "step")
-    guess = _best(guess, BEST)
+        guess = scratch.keep(_concentrate(x, _sendable(guess)), "step")
+    guess = scratch.keep(_best(guess, BEST), "best")
     for _ in range(FURTHER):
-        guess = scratch.keep(_concentrate(x, guess), "step")
-    return _best(guess, 1).drop("start")
+        guess = scratch.keep(_concentrate(x, _sendable(guess)), "step")
+    return _sendable(scratch.keep(_best(guess, 1).drop("start"), "chosen"))
 
 
 def _lean(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
@@ -280,7 +288,7 @@ def _judged(inside: DataFrame, held: list[str], tail: float) -> DataFrame:
     rows = scratch.keep(base.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], *_vector(), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_own")), "statistics")
     x = rows.where("not base_failed").select("_lang", F.col("_own").alias("_source"), *[f"x{i}" for i in range(DIMS)])
     found = estimates(x).withColumnRenamed("_source", "_own")
-    out = _distance(rows.join(found, ["_lang", "_own"], "left"))
+    out = _distance(rows.join(_sendable(found), ["_lang", "_own"], "left"))
     within = F.col("d2") <= _chi_quantile(1 - tail, DIMS)
     return out.select(*[F.col(f"`{c}`") for c in held], *MADE[:6], (~F.col("base_failed") & within).alias("kept"), "d2", "estimate_rows")
 
