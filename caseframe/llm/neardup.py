@@ -179,14 +179,26 @@ class _Forest:
 
 
 def _exhaust(rows: np.ndarray, tokens: np.ndarray, forest: _Forest, found: list[tuple[int, int]]) -> None:
-    """Compare all pairs of ``rows`` on their tokens; plausible pairs that join two trees of the forest are found."""
-    own = tokens[rows]
-    for i in range(len(rows) - 1):
-        agree = (own[i + 1 :] == own[i]).sum(axis=1, dtype=np.int32)
-        for j in np.flatnonzero(agree >= PLAUSIBLE).tolist():
-            a, b = int(rows[i]), int(rows[i + 1 + j])
-            if forest.join(a, b):
-                found.append((a, b))
+    """Compare ``rows`` on their tokens; plausible pairs that join two trees of the forest are found.
+
+    Breadth first: a row that is reached is compared with those that are not
+    yet, which connects what all pairs connect; copies of one text cost little.
+    """
+    left = rows
+    held = tokens[left]
+    while len(left) > 1:
+        reached = [(int(left[0]), held[0])]
+        left, held = left[1:], held[1:]
+        while reached and len(left):
+            a, own = reached.pop()
+            near = (held == own).sum(axis=1, dtype=np.int32) >= PLAUSIBLE
+            if not near.any():
+                continue
+            for b, one in zip(left[near].tolist(), held[near], strict=True):
+                reached.append((b, one))
+                if forest.join(a, b):
+                    found.append((a, b))
+            left, held = left[~near], held[~near]
 
 
 def _branch(node: int, depth: int) -> list[int]:
