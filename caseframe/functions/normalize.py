@@ -134,15 +134,16 @@ def with_derived_missing(target: Column) -> Column:
 def record_form(v: Column, d: Dialect) -> Column:
     """Everything that the metrics of a dialect compare."""
 
-    def form(found: Column) -> Column:
+    def form(found: Column, groups: Column) -> Column:
         return F.struct(
             _text(j.get(v, "chief_complaint"), d).alias("chief"),
             found.alias("entries"),
             symptom_map(found, d).alias("map"),
-            group_form(j.get(v, "medications"), d).alias("medications"),
-            group_form(j.get(v, "allergies"), d).alias("allergies"),
+            F.get(groups, F.lit(0)).alias("medications"),
+            F.get(groups, F.lit(1)).alias("allergies"),
             sorted_forms(j.get(v, "missing_information"), d, missing_key_is_empty=d.name != "e2").alias("missing"),
             F.array_sort(F.transform(derived_missing(v), lambda x: F.concat(F.lit("s"), x))).alias("derived"),
         )
 
-    return j.let(entries(j.get(v, "symptoms"), d), form)
+    groups = F.transform(F.array(j.get(v, "medications"), j.get(v, "allergies")), lambda x: _group_form(x, d))
+    return j.let(entries(j.get(v, "symptoms"), d), lambda found: j.let(groups, lambda g: form(found, g)))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions.text import ratio
+from caseframe.operators import metrics
 from caseframe.operators.expectations import require_empty, require_unique
-from caseframe.schema import METRICS
+from caseframe.schema import E2, METRICS, Dialect
 
 KEY = ("case_id", "language")
 CATEGORIES = ("both_correct", "improved", "regressed", "both_wrong")
@@ -44,7 +45,18 @@ def paired(base: DataFrame, candidate: DataFrame, key: tuple[str, ...] = KEY, ch
     if check and rest:
         differs = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in rest))
         require_empty(joined.where(differs).select(*key), "rows whose target or utterance differs")
-    return joined.drop(*[f"_{c}" for c in rest]).withColumns({f"category_{m}": category(F.col(f"base_{m}"), F.col(f"candidate_{m}")) for m in METRICS})
+    return with_categories(joined.drop(*[f"_{c}" for c in rest]))
+
+
+def with_categories(pairs: DataFrame) -> DataFrame:
+    """``pairs``, which have base_ and candidate_ metrics, with a category for each metric."""
+    return pairs.withColumns({f"category_{m}": category(F.col(f"base_{m}"), F.col(f"candidate_{m}")) for m in METRICS})
+
+
+def scored_pairs(base: DataFrame, candidate: DataFrame, dialect: Dialect = E2, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Raw predictions of both sides, joined by key and scored in one pass against the target, which they share."""
+    joined = base.join(candidate.select(*key, F.col("prediction").alias("_candidate")), list(key))
+    return with_categories(metrics.score_all(joined, {"base_": "prediction", "candidate_": "_candidate"}, dialect).drop("_candidate"))
 
 
 def outcomes(pairs: DataFrame, by: str | None = None) -> DataFrame:

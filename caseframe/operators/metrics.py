@@ -106,6 +106,15 @@ def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction",
     JSON text. A prediction that is no JSON object fails every metric; nothing
     raises. Everything is a narrow projection: parsed and normalized once.
     """
+    return score_all(df, {"": prediction}, dialect, target)
+
+
+def score_all(df: DataFrame, predictions: dict[str, str], dialect: Dialect = E2, target: str = "target") -> DataFrame:
+    """``df`` with the 13 metric columns of each prediction column, by the prefix of their names.
+
+    Predictions that share a target are scored in one pass: the target is
+    normalized once, and one expression normalizes them all.
+    """
     kinds = dict(df.dtypes)
 
     def variant(name: str) -> Column:
@@ -116,12 +125,18 @@ def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction",
             return j.parse_object(F.col(name), dialect.brace_fallback)
         return j.from_struct(F.col(name))
 
-    staged = df.withColumns({"_p": once(variant(prediction)), "_t": once(variant(target))})
-    staged = staged.withColumns({"_pf": once(n.record_form(F.col("_p"), dialect)), "_tf": once(n.record_form(F.col("_t"), dialect))})
-    found = comparisons(F.col("_pf"), F.col("_tf"), dialect)
-    valid = F.col("_p").isNotNull()
-    columns = {"valid_json": valid, "schema_valid": once(schema_valid(F.col("_p"), dialect))} | found
-    return staged.withColumns({m: valid & F.coalesce(columns[m], F.lit(False)) for m in METRICS}).drop("_p", "_t", "_pf", "_tf")
+    parsed = {f"_p{i}": once(variant(name)) for i, name in enumerate(predictions.values())}
+    staged = df.withColumns(parsed | {"_t": once(variant(target))})
+    forms = F.transform(F.array(*parsed, "_t"), lambda v: n.record_form(v, dialect))
+    sound = F.transform(F.array(*parsed), lambda v: schema_valid(v, dialect))
+    staged = staged.withColumns({"_forms": once(forms), "_sound": once(sound)})
+    columns = {}
+    for i, prefix in enumerate(predictions):
+        valid = F.col(f"_p{i}").isNotNull()
+        found = comparisons(F.get("_forms", F.lit(i)), F.get("_forms", F.lit(len(parsed))), dialect)
+        found |= {"valid_json": valid, "schema_valid": F.get("_sound", F.lit(i))}
+        columns |= {f"{prefix}{m}": valid & F.coalesce(found[m], F.lit(False)) for m in METRICS}
+    return staged.withColumns(columns).drop(*parsed, "_t", "_forms", "_sound")
 
 
 #: Metrics by name, for callers that choose some of them.

@@ -70,8 +70,8 @@ def eval_metrics_e3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = scratch.keep(views.cases(spark, sf_dir), "cases")
-    base, candidate = (metrics.score(views.predictions(spark, sf_dir, shift, cases), DIALECTS["e2"]) for shift in (views.BASE, views.CANDIDATE))
-    return compare.paired(base, candidate)
+    base, candidate = (views.predictions(spark, sf_dir, shift, cases) for shift in (views.BASE, views.CANDIDATE))
+    return compare.scored_pairs(base, candidate)
 
 
 @query
