@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
 from caseframe.functions import normalize as n
+from caseframe.functions import records as r
 from caseframe.functions.arrays import once
 from caseframe.schema import E2, INFO_STATUSES, METRICS, MISSING, STATUSES, TARGET_FIELDS, UNITS, Dialect
 
@@ -99,12 +101,100 @@ def comparisons(p: Column, t: Column, d: Dialect) -> dict[str, Column]:
     return out
 
 
+_FIELDS, _SYMPTOM, _DURATION, _GROUP = (frozenset(x) for x in (TARGET_FIELDS, ("name", "status", "duration"), ("value", "unit"), ("status", "items")))
+
+
+def _timed(x: Any, d: Dialect) -> bool:
+    if type(x) is not dict:
+        return x is None
+    return x.keys() == _DURATION and r.number_type(x["value"]) in d.value_types and type(x["unit"]) is str and x["unit"] in UNITS
+
+
+def _group(x: Any) -> bool:
+    if type(x) is not dict or x.keys() != _GROUP or type(x["status"]) is not str or x["status"] not in INFO_STATUSES:
+        return False
+    return _texts(x["items"])
+
+
+def _texts(x: Any) -> bool:
+    return type(x) is list and all([type(y) is str for y in x])
+
+
+def sound(v: Any, d: Dialect = E2) -> bool:
+    """``schema_valid`` of a record in plain Python."""
+    if type(v) is not dict or v.keys() != _FIELDS or type(v["chief_complaint"]) is not str or type(v["symptoms"]) is not list:
+        return False
+    for x in v["symptoms"]:
+        if type(x) is not dict or x.keys() != _SYMPTOM or type(x["name"]) is not str or type(x["status"]) is not str or x["status"] not in STATUSES:
+            return False
+        duration = x["duration"]
+        if duration is not None and not (_timed(duration, d) and (d.absent_may_have_duration or x["status"] == "present")):
+            return False
+    missing = v["missing_information"]
+    return _group(v["medications"]) and _group(v["allergies"]) and _texts(missing) and (not d.fixed_missing or all([x in MISSING for x in missing]))
+
+
+def matches(p: r.Form, t: r.Form, d: Dialect) -> dict[str, bool]:
+    """``comparisons`` of two record forms in plain Python."""
+    status = duration = mapped = p.map is not None and t.map is not None and len(p.map) == len(t.map)
+    if mapped and p.map != t.map:
+        mapped = all([a[0] == b[0] for a, b in zip(p.map, t.map, strict=True)])
+        status = mapped and all([a[1] == b[1] for a, b in zip(p.map, t.map, strict=True)])
+        duration = mapped and all([a[2] == b[2] for a, b in zip(p.map, t.map, strict=True)])
+    if d.name == "e3":
+        if p.entries is None or t.entries is None:
+            mapped = p.entries is t.entries
+        else:
+            mapped = sorted([e[0] for e in p.entries]) == sorted([e[0] for e in t.entries])
+    elif d.name == "e1":
+        mapped = {e[0] for e in p.entries} == {e[0] for e in t.entries}
+    chief = p.chief == t.chief
+    medication = p.medications is not None and p.medications == t.medications
+    allergy = p.allergies is not None and p.allergies == t.allergies
+    derived = p.derived == t.missing
+    if d.name == "e2":
+        core = chief and mapped and status and duration and medication and allergy
+    else:
+        core = chief and medication and allergy and p.entries is not None and t.entries is not None and sorted(p.entries) == sorted(t.entries)
+    return {
+        "chief_complaint": chief,
+        "symptom_extraction": mapped,
+        "symptom_status": status,
+        "duration": duration,
+        "medication": medication,
+        "allergy": allergy,
+        "missing_information_raw": set(p.missing) == set(t.missing) if d.name == "e1" else p.missing == t.missing,
+        "missing_information_derived": derived,
+        "core_exact": core,
+        "raw_exact": core and p.missing == t.missing,
+        "pipeline_exact": core and derived,
+    }
+
+
+_BIT = {m: 1 << i for i, m in enumerate(METRICS)}
+
+
+def _bits(target: Any, predictions: list[Any], d: Dialect) -> int:
+    """The metrics of parsed predictions, 13 bits each."""
+    out, form = 0, None
+    for at, p in enumerate(predictions):
+        if type(p) is not dict:
+            continue
+        form = r.record_form(target, d) if form is None else form
+        found = _BIT["valid_json"] | (_BIT["schema_valid"] if sound(p, d) else 0)
+        for m, right in matches(r.record_form(p, d), form, d).items():
+            if right:
+                found |= _BIT[m]
+        out |= found << (at * len(METRICS))
+    return out
+
+
 def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction", target: str = "target") -> DataFrame:
     """``df`` with the 13 metric columns.
 
-    ``prediction`` is raw text or VARIANT; ``target`` a struct, a VARIANT or
-    JSON text. A prediction that is no JSON object fails every metric; nothing
-    raises. Everything is a narrow projection: parsed and normalized once.
+    ``prediction`` is raw text, a struct or VARIANT; ``target`` a struct, a
+    VARIANT or JSON text. A prediction that is no JSON object fails every
+    metric; nothing raises. Everything is a narrow projection.
     """
     return score_all(df, {"": prediction}, dialect, target)
 
@@ -112,10 +202,33 @@ def score(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction",
 def score_all(df: DataFrame, predictions: dict[str, str], dialect: Dialect = E2, target: str = "target") -> DataFrame:
     """``df`` with the 13 metric columns of each prediction column, by the prefix of their names.
 
-    Predictions that share a target are scored in one pass: the target is
-    normalized once, and one expression normalizes them all.
+    Texts and structs are scored by a row function that returns a bit for each
+    metric, a hundred rows at a time; predictions that share a target are
+    scored in one pass. VARIANT columns, whose numbers would lose their type as
+    JSON text, are scored by expressions.
     """
     kinds = dict(df.dtypes)
+    names = [*predictions.values(), target]
+    if any(kinds[c] == "variant" for c in names):
+        return _score_variants(df, predictions, dialect, target)
+    if len(predictions) > 4:  # 13 bits each in a long
+        first = dict(list(predictions.items())[:4])
+        return score_all(score_all(df, first, dialect, target), {k: v for k, v in predictions.items() if k not in first}, dialect, target)
+    texts = [kinds[c] == "string" for c in names]
+
+    def bits(*given: str | None) -> int:
+        parsed = [r.parse_object(x, dialect.brace_fallback) if text else r.parse_struct(x) for x, text in zip(given, texts, strict=True)]
+        return _bits(r.GONE if parsed[-1] is None else parsed[-1], parsed[:-1], dialect)
+
+    given = [F.col(c) if text else F.to_json(c, {"ignoreNullFields": "false"}) for c, text in zip(names, texts, strict=True)]
+    staged = df.withColumn("_bits", F.udf(bits, "long", useArrow=False).asNondeterministic()(*given))
+    found = {f"{prefix}{m}": F.col("_bits").bitwiseAND(F.lit(1 << (at * len(METRICS) + i))) != 0 for at, prefix in enumerate(predictions) for i, m in enumerate(METRICS)}
+    return staged.withColumns(found).drop("_bits")
+
+
+def _score_variants(df: DataFrame, predictions: dict[str, str], dialect: Dialect, target: str) -> DataFrame:
+    """``score_all`` by expressions: the target is normalized once, and one expression normalizes all predictions."""
+    kinds = dict(df.dtypes)
 
     def variant(name: str) -> Column:
         kind = kinds[name]
