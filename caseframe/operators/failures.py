@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
 from caseframe.functions import normalize as n
+from caseframe.functions import records as r
 from caseframe.functions.arrays import elements, once
 from caseframe.schema import E2, Dialect
 
@@ -32,14 +35,64 @@ def _first_entries(found: Column) -> Column:
     return F.array_sort(kept)
 
 
+def found_failures(p: Any, t: Any, d: Dialect = E2) -> list[tuple]:
+    """The failures of a parsed prediction in plain Python, as rows of ``FAILURE``."""
+    if p is None:
+        return [("invalid_json", None, None, None, 1)]
+    a, b = r.record_form(p, d), r.record_form(t, d)
+    plain = lambda c: None if c is None else c[1:]
+    joined = lambda c: None if c is None else ", ".join([x[1:] for x in c])
+    out = [] if a.chief == b.chief else [("wrong_chief_complaint", None, plain(b.chief), plain(a.chief), 1)]
+    firsts: list[dict[str, r.Entry]] = []
+    for form in (a, b):
+        first: dict[str, r.Entry] = {}
+        for e in form.entries or ():
+            first.setdefault(e.name, e)
+        firsts.append(first)
+    both = a.entries is not None and b.entries is not None
+    pe, te = firsts
+    given, wanted = sorted(pe), sorted(te)
+    if both:
+        out += [("missing_symptom", plain(x), None, None, 1) for x in wanted if x not in pe]
+        out += [("extra_symptom", plain(x), None, None, 1) for x in given if x not in te]
+    if len(pe) != len(a.entries or ()):
+        names = [e.name for e in a.entries]
+        out += [("duplicate_symptom", plain(x), None, None, names.count(x)) for x in given if names.count(x) > 1]
+    common = [x for x in wanted if x in pe] if both else []
+    out += [("wrong_symptom_status", plain(x), plain(te[x].status), plain(pe[x].status), 1) for x in common if te[x].status != pe[x].status]
+    out += [("wrong_duration", plain(x), plain(te[x].duration), plain(pe[x].duration), 1) for x in common if te[x].duration != pe[x].duration]
+    if a.medications != b.medications:
+        out.append(("medication_error", None, joined(b.medications), joined(a.medications), 1))
+    if a.allergies != b.allergies:
+        out.append(("allergy_error", None, joined(b.allergies), joined(a.allergies), 1))
+    return out
+
+
 def failures(df: DataFrame, dialect: Dialect = E2, prediction: str = "prediction", target: str = "target") -> DataFrame:
     """``df`` with ``failures``, one entry for each occurrence, and ``errors``, each type once in fixed order.
 
     A prediction that can't be parsed has the one failure invalid_json; a
     correct one has none. Repeated names count as duplicates, and their first
-    entries are compared.
+    entries are compared. Text predictions go through a row function, a hundred
+    rows at a time; VARIANT columns through expressions.
     """
     kinds = dict(df.dtypes)
+    if kinds[prediction] != "string" or kinds[target] == "variant":
+        return _failures_of_variants(df, dialect, prediction, target)
+    text = kinds[target] == "string"
+
+    def found(given: str | None, wanted: str | None) -> list[tuple]:
+        truth = r.parse_object(wanted) if text else r.parse_struct(wanted)
+        return found_failures(r.parse_object(given, dialect.brace_fallback), r.GONE if truth is None else truth, dialect)
+
+    truth = F.col(target) if text else F.to_json(target, {"ignoreNullFields": "false"})
+    out = df.withColumn("failures", F.udf(found, FAILURE, useArrow=False).asNondeterministic()(F.col(prediction), truth))
+    return out.withColumn("errors", F.array_distinct(F.transform("failures", lambda f: f["type"])))
+
+
+def _failures_of_variants(df: DataFrame, dialect: Dialect, prediction: str, target: str) -> DataFrame:
+    """``failures`` by expressions."""
+    kinds = dict(df.dtypes)
     text = j.parse_object(F.col(prediction), dialect.brace_fallback) if kinds[prediction] == "string" else F.col(prediction)
     truth = j.parse_object(F.col(target)) if kinds[target] == "string" else F.col(target) if kinds[target] == "variant" else j.from_struct(F.col(target))
     staged = df.withColumns({"_p": once(text), "_t": once(truth)})
