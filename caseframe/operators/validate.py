@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import jsonvalue as j
+from caseframe.functions import records as r
 from caseframe.functions.arrays import elements, once
 from caseframe.functions.text import strip, western_digits
 from caseframe.schema import INFO_STATUSES, LANGUAGES, MISSING, SAMPLE_SOURCE, SCHEMA_VERSION, SPLITS, STATUSES, TARGET_FIELDS, UNITS
@@ -84,6 +87,65 @@ def target_errors(v: Column) -> Column:
     return F.when(F.size(absent) > 0, gone).otherwise(F.concat(_collect(*errors), _indexed(elements, symptom), _collect(*after)))
 
 
+def found_errors(v: Any) -> list[tuple[str, str | None]]:
+    """``target_errors`` of a record in plain Python, as rows of ``ERRORS``."""
+    absent = sorted(set(TARGET_FIELDS) - (v.keys() if type(v) is dict else set()))
+    if absent:
+        return [("missing_fields", ",".join(absent))]
+    symptoms, chief = v["symptoms"], v["chief_complaint"]
+    listed = [x for x in symptoms if type(x) is dict] if type(symptoms) is list else None
+    out: list[tuple[str, str | None]] = []
+
+    def add(code: str, when: bool, detail: object = None) -> None:
+        if when:
+            out.append((code, None if detail is None else str(detail)))
+
+    add("chief_complaint_type", type(chief) is not str)
+    add("symptoms_type", listed is None)
+    for i, x in enumerate(symptoms if listed is not None else ()):
+        if type(x) is not dict:
+            add("symptom_not_object", True, i)
+            continue
+        status, duration = x.get("status"), x.get("duration")
+        add("symptom_name", type(x.get("name")) is not str, i)
+        add("symptom_status", type(status) is not str or status not in STATUSES, i)
+        add("duration_not_null", duration is not None and status in ("absent", "uncertain"), i)
+        if type(duration) is dict:
+            value, unit = duration.get("value"), duration.get("unit")
+            add("duration_value", r.number_type(value) != "int" or value <= 0, i)
+            add("duration_unit", type(unit) is not str or unit not in UNITS, i)
+        else:
+            add("duration_not_object", duration is not None, i)
+    if listed is not None:
+        names, wanted = [x["name"] for x in listed if type(x.get("name")) is str], r.canonical(chief)
+        same = [x for x in listed if r.canonical(x.get("name")) == wanted]
+        add("duplicate_symptoms", len(names) != len(set(names)))
+        add("chief_complaint_count", len(same) != 1)
+        add("chief_complaint_status", len(same) == 1 and same[0].get("status") != "present")
+    else:
+        same = []
+    unknown = {}
+    for field in ("medications", "allergies"):
+        group = v[field]
+        status, held = r.get(group, "status"), r.get(group, "items")
+        unknown[field] = status == "unknown"
+        add(f"{field}_type", type(group) is not dict)
+        if type(group) is dict:
+            add(f"{field}_status", type(status) is not str or status not in INFO_STATUSES)
+            add(f"{field}_items_type", type(held) is not list)
+            if type(held) is list:
+                add(f"{field}_items_not_empty", status in ("unknown", "none") and len(held) > 0)
+                add(f"{field}_items_empty", status == "reported" and not held)
+    missing = v["missing_information"]
+    expected = [name for name, lacks in (("allergies", unknown["allergies"]), ("duration", any(x.get("duration") is None for x in same)), ("medications", unknown["medications"])) if lacks]
+    add("missing_information_type", type(missing) is not list)
+    if type(missing) is list:
+        given = {r.canonical(x) for x in missing}
+        add("missing_information_values", not given <= {"s" + m for m in MISSING})
+        add("missing_information_mismatch", given != {"s" + x for x in expected}, ",".join(expected))
+    return out
+
+
 #: What each pattern promises of its cases, by the statuses and the number of symptoms.
 def _promises(pattern: Column, chief: Column, symptoms: Column, medications: Column, allergies: Column, missing: Column) -> list[Column]:
     statuses = F.transform(symptoms, lambda s: s["status"])
@@ -107,14 +169,15 @@ def _promises(pattern: Column, chief: Column, symptoms: Column, medications: Col
 def with_case_errors(cases: DataFrame) -> DataFrame:
     """``cases`` (of the case type) with ``errors``: those of the target, the pattern's promises, and a medication that is also an allergen."""
     target = F.struct(*[F.col(f) for f in TARGET_FIELDS])
-    staged = cases.withColumn("_v", once(j.from_struct(target)))
+    found = F.udf(lambda text: found_errors(r.parse_struct(text)), ERRORS, useArrow=False).asNondeterministic()
+    staged = cases.withColumn("_found", found(F.to_json(target, {"ignoreNullFields": "false"})))
     both = F.array_intersect(F.col("medications")["items"], F.col("allergies")["items"])
     more = [
         _error("case_id", ~F.coalesce(F.col("case_id").rlike(r"^\S+$"), F.lit(False))),
         _error("medication_is_allergen", F.size(both) > 0, F.array_join(both, ",")),
     ]
     more += _promises(F.col("case_pattern"), F.col("chief_complaint"), F.col("symptoms"), F.col("medications"), F.col("allergies"), F.col("missing_information"))
-    return staged.withColumn("errors", once(F.concat(target_errors(F.col("_v")), _collect(*more)))).drop("_v")
+    return staged.withColumn("errors", once(F.concat("_found", _collect(*more)))).drop("_found")
 
 
 def with_sample_errors(samples: DataFrame, cases: DataFrame, splits: DataFrame) -> DataFrame:
