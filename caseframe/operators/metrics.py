@@ -176,16 +176,18 @@ _BIT = {m: 1 << i for i, m in enumerate(METRICS)}
 
 def _bits(target: Any, predictions: list[Any], d: Dialect) -> int:
     """The metrics of parsed predictions, 13 bits each."""
-    out, form = 0, None
+    out, form, known = 0, None, {}
     for at, p in enumerate(predictions):
         if type(p) is not dict:
             continue
-        form = r.record_form(target, d) if form is None else form
-        found = _BIT["valid_json"] | (_BIT["schema_valid"] if sound(p, d) else 0)
-        for m, right in matches(r.record_form(p, d), form, d).items():
-            if right:
-                found |= _BIT[m]
-        out |= found << (at * len(METRICS))
+        if id(p) not in known:
+            form = r.record_form(target, d) if form is None else form
+            found = _BIT["valid_json"] | (_BIT["schema_valid"] if sound(p, d) else 0)
+            for m, right in matches(form if p is target else r.record_form(p, d), form, d).items():
+                if right:
+                    found |= _BIT[m]
+            known[id(p)] = found
+        out |= known[id(p)] << (at * len(METRICS))
     return out
 
 
@@ -217,7 +219,13 @@ def score_all(df: DataFrame, predictions: dict[str, str], dialect: Dialect = E2,
     texts = [kinds[c] == "string" for c in names]
 
     def bits(*given: str | None) -> int:
-        parsed = [r.parse_object(x, dialect.brace_fallback) if text else r.parse_struct(x) for x, text in zip(given, texts, strict=True)]
+        known: dict[str | None, Any] = {}  # texts that are alike are parsed and normalized once
+        parsed = []
+        for x, text in zip(given, texts, strict=True):
+            body = r.body(x) if text else x
+            if body not in known:
+                known[body] = r.parse_body(body, dialect.brace_fallback) if text else r.parse_struct(body)
+            parsed.append(known[body])
         return _bits(r.GONE if parsed[-1] is None else parsed[-1], parsed[:-1], dialect)
 
     given = [F.col(c) if text else F.to_json(c, {"ignoreNullFields": "false"}) for c, text in zip(names, texts, strict=True)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseframe.functions.arrays import once
 from caseframe.functions.normalize import derived_missing_struct
 from caseframe.operators.generate import strings
 from caseframe.operators.model_io import compact_json
@@ -18,14 +19,18 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as cases, their lines as symptoms in a fixed order; names repeat now and then."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    status = F.when(F.col("l_returnflag") == "N", "present").when(F.col("l_returnflag") == "A", "absent").otherwise("uncertain")
-    unit = F.get(strings(("hours", "days", "weeks")), F.col("l_linenumber") % 3)
-    duration = F.when(status == "present", F.struct((F.col("l_quantity").cast("int") % 12 + 1).alias("value"), unit.alias("unit")).cast(DURATION))
-    symptom = F.struct(F.concat(F.lit("sym_"), (F.col("l_partkey") % 23).cast("string")).alias("name"), status.alias("status"), duration.alias("duration")).cast(SYMPTOM)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
-    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order, symptom.alias("symptom")))).alias("_s"))
+
+    def symptom(x: Column) -> Column:
+        """Of a line, after the lines have been moved and sorted: what is derived from them isn't."""
+        status = F.when(x["l_returnflag"] == "N", "present").when(x["l_returnflag"] == "A", "absent").otherwise("uncertain")
+        unit = F.get(strings(("hours", "days", "weeks")), x["l_linenumber"] % 3)
+        duration = F.when(x["l_returnflag"] == "N", F.struct((x["l_quantity"].cast("int") % 12 + 1).alias("value"), unit.alias("unit")).cast(DURATION))
+        return F.struct(F.concat(F.lit("sym_"), (x["l_partkey"] % 23).cast("string")).alias("name"), status.alias("status"), duration.alias("duration")).cast(SYMPTOM)
+
+    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_s"))
     joined = listed.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    df = joined.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("case_pattern"), F.col("o_orderstatus").alias("_o"), F.transform("_s", lambda x: x["symptom"]).alias("symptoms"))
+    df = joined.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("case_pattern"), F.col("o_orderstatus").alias("_o"), once(F.transform("_s", symptom)).alias("symptoms"))
     info = lambda s, item: F.struct(s.alias("status"), F.when(s == "reported", F.array(F.lit(item))).otherwise(strings(())).alias("items")).cast(INFO)
     medication = F.when(F.col("_o") == "F", "reported").when(F.col("_o") == "O", "none").otherwise("unknown")
     allergy = F.get(strings(("unknown", "none", "reported")), (F.col("case_id") % 3).cast("int"))
@@ -52,8 +57,9 @@ def predictions(spark: SparkSession, sf_dir: str, shift: int = BASE, source: Dat
         .otherwise(symptoms)
     )
     text = compact_json(F.struct(*[changed.alias(f) if f == "symptoms" else F.col(f) for f in TARGET_FIELDS]))
-    raw = F.when(k == 7, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(k == 8, F.concat(text, F.lit(" ok"))).when(k == 9, F.expr("substring(_x, 1, length(_x) - 1)")).otherwise(text)
-    rows = rows.withColumn("_x", text).withColumn("prediction", raw)
+    rows, x = rows.withColumn("_x", once(text)), F.col("_x")
+    raw = F.when(k == 7, F.concat(F.lit("```json\n"), x, F.lit("\n```"))).when(k == 8, F.concat(x, F.lit(" ok"))).when(k == 9, F.expr("substring(_x, 1, length(_x) - 1)")).otherwise(x)
+    rows = rows.withColumn("prediction", raw)
     language = F.get(strings(LANGUAGES), (F.col("case_id") % 7).cast("int"))
     return rows.select("case_id", language.alias("language"), F.struct(*[F.col(f) for f in TARGET_FIELDS]).alias("target"), "prediction")
 
