@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +85,28 @@ def with_retries(call: Callable[[list[str]], list[str]], attempts: int = ATTEMPT
     return run
 
 
-def generate(df: DataFrame, prompt: str, out: str, call: Callable[[list[str]], list[str]], batch: int = BATCH, attempts: int = ATTEMPTS, delay: float = DELAY) -> DataFrame:
-    """``df`` with ``out``: the model's text for each prompt, asked in batches within each task. Every prompt must get one answer."""
+def generate(df: DataFrame, prompt: str, out: str, call: Callable[[list[str]], list[str]], batch: int = BATCH, attempts: int = ATTEMPTS, delay: float = DELAY, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``out``: the model's text for each prompt, asked in batches within each task. Every prompt must get one answer.
+
+    Beside the Arrow batch as it came, which isn't copied, a worker holds the
+    prompts and answers of one call only.
+    """
     columns = [c for c in df.columns if c != out]
-    schema = ", ".join(f"`{c}` {k}" for c, k in df.select(*columns).dtypes) + f", `{out}` string"
+    kept = [c for c in columns if keep is None or c in keep]
+    schema = ", ".join(f"`{c}` {k}" for c, k in df.select(*kept).dtypes) + f", `{out}` string"
     asked = with_retries(call, attempts, delay)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts: list[str] = []
-            for at in range(0, len(frame), batch):
-                prompts = list(frame[prompt].iloc[at : at + batch])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                prompts = part.column(columns.index(prompt)).to_pylist()
                 got = asked(prompts)
                 if len(got) != len(prompts):
                     raise ValueError(f"{len(prompts)} prompts got {len(got)} answers")
-                texts += got
-            yield frame.assign(**{out: texts})
+                yield pa.RecordBatch.from_arrays([*[part.column(columns.index(c)) for c in kept], pa.array(got, pa.string())], [*kept, out])
 
-    return df.select(*columns).mapInPandas(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)
 
 
 def aligned(inputs: DataFrame, outputs: DataFrame, ordinal: str, key: tuple[str, ...]) -> DataFrame:

@@ -146,7 +146,7 @@ def _lengths(prompts: list[str]) -> list[str]:
 @query("SELECT doc_id, length(text)::VARCHAR AS answer FROM documents")
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-call, T8: a batch function over whole texts, 32 at a time."""
-    return model_io.generate(_documents(spark, sf_dir).select("doc_id", "text"), "text", "answer", _lengths).select("doc_id", "answer")
+    return model_io.generate(_documents(spark, sf_dir).select("doc_id", "text"), "text", "answer", _lengths, keep=("doc_id",))
 
 
 def _intake(prompts: list[str]) -> list[str]:
