@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def normalize_text(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Runs of letters and digits of any script; runs with an underscore are no tokens."""
-    return F.filter(F.regexp_extract_all(normalize_text(c), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda x: ~x.contains("_"))
+    """Runs of letters and digits of any script, in lower case; runs with an underscore are no tokens."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda x: ~x.contains("_"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -41,6 +43,30 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, windows)
 
 
+def ngram_cells(t: Column, n: int, cells: int) -> Column:
+    """For each window of ``n`` tokens, its cell: a hash below ``cells``."""
+    cell = lambda i: F.pmod(F.xxhash64(*[F.get(t, i + j) for j in range(n)]), F.lit(cells)).cast("int")
+    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), cell)).otherwise(F.array().cast("array<int>"))
+
+
+def ngrams_where(t: Column, n: int, chosen: Callable[[Column], Column]) -> Column:
+    """Those space-joined windows of ``n`` tokens whose number from 0 is chosen."""
+    some = F.transform(F.filter(F.sequence(F.lit(0), F.size(t) - n), chosen), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+    return F.when(F.size(t) >= n, some).otherwise(F.array().cast("array<string>"))
+
+
+def bits(numbers: Iterable[int], limit: int) -> Column:
+    """A set of numbers below ``limit`` as a literal array of 64-bit words."""
+    words = [0] * (limit // 64 + 1)
+    for x in numbers:
+        words[x >> 6] |= 1 << (x & 63)
+    return F.split(F.lit(",".join(str(w - (w >> 63 << 64)) for w in words)), ",").cast("array<bigint>")
+
+
+def has_bit(flags: Column, x: Column) -> Column:
+    return F.getbit(F.get(flags, F.shiftright(x, 6)), x.bitwiseAND(63)) == 1
+
+
 def arabic_digits(text: Column, language: Column) -> Column:
     """Arabic-Indic digits where the language is ``ar_msa``."""
     return F.when(language == "ar_msa", F.translate(text, "0123456789", ARABIC_DIGITS)).otherwise(text)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseframe.functions import text as tx
-from caseframe.functions.arrays import elements
+from caseframe.functions.arrays import elements, let
 from caseframe.functions.text import ratio
 from caseframe.schema import MAX_TOKENS
+from caseframe.sources.scratch import keep
+
+#: Cells in which the terms of a group are counted before any is counted by itself.
+CELLS = 65_536
 
 
 def target_features(target: Column) -> dict[str, Column]:
@@ -88,11 +94,37 @@ def lexical_stats(df: DataFrame, text: str, by: tuple[str, ...]) -> DataFrame:
 
 
 def top_terms(df: DataFrame, text: str, by: tuple[str, ...], k: int, n: int = 1) -> DataFrame:
-    """The ``k`` most common tokens or n-grams of each group, ties by the term, with their rank."""
+    """The ``k`` most common tokens or n-grams of each group, ties by the term, with their rank.
+
+    Terms are first counted by cell, a hash of the term; the count of a cell is
+    an upper bound for its terms. The terms of the heaviest cells are counted
+    exactly, and the last of the ``k`` best of them is a lower bound for all that
+    can be in the result: only the terms of cells that reach it are counted too.
+    So no term is left out that could rank, and the shuffles carry cells and the
+    terms of heavy ones. Where terms are about equally frequent, all are counted.
+    """
     tokens = tx.tokenize(F.col(text))
-    rows = elements(df, tokens if n == 1 else tx.ngrams(tokens, n), "term", *by)
-    counts = rows.groupBy(*by, "term").agg(F.count("*").alias("total"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "term")))
+    ranks = lambda *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+    def counted(cells: list[int]) -> DataFrame:
+        """Exact counts of the terms of some cells; other terms aren't built."""
+        flags = tx.bits(cells, CELLS)
+        terms = lambda t: let(tx.ngram_cells(t, n, CELLS), lambda c: tx.ngrams_where(t, n, lambda i: tx.has_bit(flags, F.get(c, i))))
+        return elements(df, let(tokens, terms), "term", *by).groupBy(*by, "term").agg(F.count("*").alias("total"))
+
+    cells = elements(df, let(tokens, lambda t: tx.ngram_cells(t, n, CELLS)), "_cell", *by)
+    sums = keep(cells.groupBy(*by, "_cell").agg(F.count("*").alias("_n")), "cells")
+    heaviest = sums.withColumn("_r", ranks(F.desc("_n"), "_cell")).where(F.col("_r") <= 2 * k)
+    first = {r["_cell"] for r in heaviest.select("_cell").distinct().collect()}  # at most CELLS
+    counts = keep(counted(list(first)), "terms")
+    last = counts.withColumn("_r", ranks(F.desc("total"))).where(F.col("_r") == k).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("total").alias("_last"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
+    # A group with fewer than k counted terms has no bound, so all its cells are counted.
+    reached = sums.join(last, same, "left").where(F.col("_n") >= F.coalesce("_last", F.lit(0)))
+    others = {r["_cell"] for r in reached.select("_cell").distinct().collect()} - first
+    if others:
+        counts = counts.union(counted(list(others)))
+    ranked = counts.withColumn("rank", ranks(F.desc("total"), "term"))
     return ranked.where(F.col("rank") <= k)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -52,6 +53,40 @@ def test_percentiles_and_entropy(spark):
     assert (out["c"]["tokens"], out["c"]["type_token_ratio"]) == (0, 0.0)
 
 
+def brute_terms(rows, k, n):
+    totals: dict = {}
+    for group, text in rows:
+        words = (text or "").split()
+        for i in range(len(words) - n + 1):
+            totals.setdefault(group, Counter())[" ".join(words[i : i + n])] += 1
+    return {(g, term, total, rank) for g, c in totals.items() for rank, (term, total) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k], 1)}
+
+
+@pytest.mark.parametrize("cells", [1, 64, 1000, 65_536])
+@pytest.mark.parametrize("k,n", [(1, 1), (5, 3), (400, 2)])
+def test_top_terms_are_exact_whatever_the_cells(spark, monkeypatch, cells, k, n):
+    monkeypatch.setattr(audit, "CELLS", cells, raising=False)
+    rng = random.Random(7)
+    skewed = [(g, " ".join(rng.choice("abcdefgh"[: 2 + i % 7]) for _ in range(30))) for i, g in enumerate(["x", "y", None] * 10)]
+    flat = [("flat", " ".join(f"w{i}" for i in range(300))), ("few", "a b c d"), ("none", "a"), ("none", ""), ("none", None), (None, None)]
+    got = audit.top_terms(spark.createDataFrame(skewed + flat, "g string, t string"), "t", ("g",), k, n)
+    assert {(r["g"], r["term"], r["total"], r["rank"]) for r in got.collect()} == brute_terms(skewed + flat, k, n)
+    assert got.columns == ["g", "term", "total", "rank"]
+
+
+def test_top_terms_shuffle_cells_and_not_every_term(spark, monkeypatch):
+    monkeypatch.setattr(audit, "CELLS", 256, raising=False)
+    rows = [("x", "a a a a a a a a b b b b b b b b " * 40 + " ".join(f"w{d}v{i}" for i in range(2000))) for d in range(10)]
+    jvm = spark.sparkContext._jvm
+    none, store = jvm.java.util.ArrayList(), spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda q: [q.apply(i) for i in range(q.size())])(store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none))}
+    before = stages()
+    got = audit.top_terms(spark.createDataFrame(rows, "g string, t string").repartition(2), "t", ("g",), 3, 3).collect()
+    assert {(r["g"], r["term"], r["total"], r["rank"]) for r in got} == brute_terms(rows, 3, 3)
+    written = sum(n for stage, n in stages().items() if stage not in before)
+    assert 0 < written < 5_000  # of 20,000 distinct trigrams
+
+
 @pytest.mark.parametrize("n,parts", [(150, (120, 15, 15)), (100, (80, 10, 10)), (5, (4, 0, 1)), (6, (5, 1, 0)), (1, (1, 0, 0))])
 def test_split(spark, n, parts):
     df = spark.range(n).withColumn("g", F.lit("x"))
